@@ -66,12 +66,13 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterat
             yield batch.slice(a, b - a)
 
 
-def salted_rank(df: DataFrame, group: list[str], salt: Column, order: list[str], out: str) -> DataFrame:
+def salted_rank(df: DataFrame, group: list[str], salt: Column, order: list, out: str, few_groups: bool = False) -> DataFrame:
     """Adds ``out``: the 0-based rank of a row in its group by (salt, order).
 
     A group is ranked in as many pieces as it has salts, each in its own task, and shifted by
     the rows of earlier salts; so no task holds a whole hot group. Ties in the order get ranks
-    in any order. Null group values form groups of their own.
+    in any order. Null group values form groups of their own. ``few_groups``: the caller has checked
+    that the table of groups by salts is small, so that it is broadcast and ``df`` isn't shuffled again.
     """
     df = df.withColumn("__salt", salt)
     keys = [*group, "__salt"]
@@ -84,7 +85,7 @@ def salted_rank(df: DataFrame, group: list[str], salt: Column, order: list[str],
     on = same[0]
     for c in same[1:]:
         on = on & c
-    joined = within.join(shift, on)
+    joined = within.join(F.broadcast(shift) if few_groups else shift, on)
     return joined.withColumn(out, F.col("__before") + F.col("__at") - 1).drop("__salt", "__at", "__before", *[f"__g{i}" for i in range(len(keys))])
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from vecloom.llm import simhash
+from vecloom.llm import langid, mixing, simhash, substring
 
-_MODULES = {"op4_simhash_near_dedup": simhash}
+_MODULES = {
+    "op3_mixing": mixing,
+    "op4_simhash_near_dedup": simhash,
+    "op5_substring_dedup": substring,
+    "op9_language_id": langid,
+}
 
 
 def queries() -> dict:
