@@ -88,10 +88,24 @@ def with_fingerprints(docs: DataFrame, blocks: int = BLOCKS, width: int = WIDTH)
     return rows.mapInArrow(run, "doc_id long, key long, hi long, lo long, block array<int>")
 
 
-def near_edges(prints: DataFrame, radius: int, width: int) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints struct(hi, lo) within ``radius`` bits, once for each variant they share.
-
-    Both sides of the join read one shuffle, keyed by (block, variant).
+def _block(row: str, at: int, width: int) -> str:
+    """SQL for the value of block ``at`` of a row with hi (the low 63 bits of the fingerprint) and lo (the rest)."""
+    low, mask = at * width, (1 << width) - 1
+    parts = []
+    if low < 63:
+        parts.append(f"shiftrightunsigned({row}.hi, {low})")
+    if low >= 63:
+        parts.append(f"shiftrightunsigned({row}.lo, {low - 63})")
+    elif low + width > 63:
+        parts.append(f"shiftleft({row}.lo, {63 - low})")
+    return f"(({' | '.join(parts)}) & {mask}L)"
+
+
+def near_edges(prints: DataFrame, radius: int, blocks: int, width: int) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints struct(hi, lo) within ``radius`` bits, each once.
+
+    Both sides of the join read one shuffle, keyed by (block, variant). A pair may collide on many variants; only the collision in its
+    first near block and there on the least shared variant counts, which each row pair tells by itself.
     """
     distinct = prints.groupBy("hi", "lo").agg(F.first("block").alias("block"))
     emitted = (
@@ -101,7 +115,13 @@ def near_edges(prints: DataFrame, radius: int, width: int) -> DataFrame:
         .repartition("variant")
     )
     near = f"(a.hi < b.hi or (a.hi = b.hi and a.lo < b.lo)) and bit_count(a.hi ^ b.hi) + bit_count(a.lo ^ b.lo) <= {radius}"
-    return emitted.alias("a").join(emitted.alias("b"), F.expr(f"a.variant = b.variant and {near}")).select(F.struct("a.hi", "a.lo").alias("a"), F.struct("b.hi", "b.lo").alias("b"))
+    value = {r: "case " + " ".join(f"when a.variant < {(k + 1) << width}L then {_block(r, k, width)}" for k in range(blocks)) + " end" for r in "ab"}
+    differ = f"(({value['a']}) ^ ({value['b']}))"
+    at = f"a.variant & {(1 << width) - 1}L"
+    # Equal values meet in themselves; values one bit apart in the lesser; values two bits apart in the lesser of both between.
+    least = f"case bit_count{differ} when 0 then {value['a']} when 1 then least({value['a']}, {value['b']}) else least(({value['a']}) ^ ({differ} & -{differ}), ({value['a']}) ^ ({differ} & ({differ} - 1))) end"
+    earlier = " and ".join(f"(a.variant < {(k + 1) << width}L or bit_count({_block('a', k, width)} ^ {_block('b', k, width)}) > 2)" for k in range(blocks - 1)) or "true"
+    return emitted.alias("a").join(emitted.alias("b"), F.expr(f"a.variant = b.variant and {near} and ({at}) = ({least}) and {earlier}")).select(F.struct("a.hi", "a.lo").alias("a"), F.struct("b.hi", "b.lo").alias("b"))
 
 
 def near_groups(docs: DataFrame, blocks: int = BLOCKS, width: int = WIDTH, radius: int | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -117,7 +137,7 @@ def near_groups(docs: DataFrame, blocks: int = BLOCKS, width: int = WIDTH, radiu
         raise ValueError("the search is complete only up to 3 * blocks - 1 bits")
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(with_fingerprints(docs, blocks, width), "prints")
-    joined = components(near_edges(prints, radius, width), scratch)
+    joined = components(near_edges(prints, radius, blocks, width), scratch)
     groups = joined.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component")
     rows = prints.groupBy("hi", "lo", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
     named = rows.join(groups, ["hi", "lo"], "left").withColumn("component", F.coalesce("component", F.struct("hi", "lo")))
