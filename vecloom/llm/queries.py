@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vecloom.llm import langid, mixing, simhash, substring
+from vecloom.llm import langid, mixing, packing, sharding, simhash, substring
 
 _MODULES = {
+    "op1_best_fit_packing": packing,
     "op3_mixing": mixing,
     "op4_simhash_near_dedup": simhash,
     "op5_substring_dedup": substring,
+    "op6_sharding": sharding,
     "op9_language_id": langid,
 }
 
