@@ -69,13 +69,13 @@ ORACLE_SQL = f"""
 WITH RECURSIVE shards AS (
   SELECT i, name, ('0x' || substr(md5(name), 1, 15))::BIGINT % {SIZE} AS off, ('0x' || substr(md5(name), 16, 15))::BIGINT % {SIZE - 1} + 1 AS skip
   FROM (SELECT i, format('shard-{{:04d}}', i) AS name FROM (SELECT unnest(range({SHARDS}))::INT AS i))
-), orders AS (
-  SELECT list((SELECT list((off + j * skip) % {SIZE} ORDER BY j) FROM (SELECT unnest(range({SIZE}))::BIGINT AS j)) ORDER BY i) AS pref FROM shards
+), orders AS MATERIALIZED (
+  SELECT i, list((off + j * skip) % {SIZE} ORDER BY j) AS pref FROM shards, (SELECT unnest(range({SIZE}))::BIGINT AS j) GROUP BY i
 ), claims AS (
   SELECT 0 AS step, list_transform(range({SIZE}), lambda x: false) AS held, -1::BIGINT AS slot
   UNION ALL
   SELECT step + 1, list_concat(list_concat(held[:best], [true]), held[best + 2:]), best
-  FROM (SELECT c.step, c.held, list_filter(o.pref[c.step % {SHARDS} + 1], lambda x: NOT c.held[x + 1])[1] AS best FROM claims c, orders o WHERE c.step < {SIZE})
+  FROM (SELECT c.step, c.held, list_filter(o.pref, lambda x: NOT c.held[x + 1])[1] AS best FROM claims c JOIN orders o ON o.i = c.step % {SHARDS} WHERE c.step < {SIZE})
 )
 SELECT d.doc_id, ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 15))::BIGINT % {SIZE} AS slot, s.name AS shard
 FROM documents d JOIN claims c ON c.slot = ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 15))::BIGINT % {SIZE} JOIN shards s ON s.i = (c.step - 1) % {SHARDS}
