@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from vecloom.plans import vector_queries
+
+_REGISTRIES = [vector_queries.REG]
+FLAGSHIP = "knn_exact_cosine"
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for r in _REGISTRIES for name, f in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for r in _REGISTRIES for name, s in r.sql.items()}
