@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vecloom.plans import vector_queries
+from vecloom.plans import text_queries, vector_queries
 
-_REGISTRIES = [vector_queries.REG]
-FLAGSHIP = "knn_exact_cosine"
+_REGISTRIES = [vector_queries.REG, text_queries.REG]
+FLAGSHIP = "rrf_hybrid"
 
 
 def queries() -> dict:
