@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vecloom.plans import text_queries, vector_queries
+from vecloom.plans import ops_queries, stream_queries, text_queries, vector_queries
 
-_REGISTRIES = [vector_queries.REG, text_queries.REG]
+_REGISTRIES = [vector_queries.REG, text_queries.REG, ops_queries.REG, stream_queries.REG]
 FLAGSHIP = "rrf_hybrid"
 
 
