@@ -1,0 +1,57 @@
+"""Every query of the catalog against its SQL; those without SQL against exact searches or their own rules."""
+
+import pytest
+from compare import assert_same, database
+
+from vecloom import catalog
+
+SQL = catalog.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return database(sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_against_sql(spark, sf_dir, con, name):
+    assert_same(catalog.queries()[name](spark, sf_dir), con, SQL[name])
+
+
+@pytest.mark.parametrize("name", ["knn_lsh_fixed_planes", "kmeans_ivf", "knn_pq"])
+def test_recall_of_approximate_searches(spark, sf_dir, name):
+    exact = "knn_exact_cosine" if name == "knn_lsh_fixed_planes" else "knn_exact_l2"
+    ids = lambda n: {r["vec_id"] for r in catalog.queries()[n](spark, sf_dir).collect()}
+    assert len(ids(name) & ids(exact)) >= 9
+
+
+def test_html_extract(spark, sf_dir):
+    for r in catalog.queries()["html_extract"](spark, sf_dir).collect():
+        assert "<script" not in r["text"] and all(x.startswith("http") for x in r["links"]) and len(r["links"]) == len(set(r["links"]))
+
+
+def test_recursive_chunks(spark, sf_dir):
+    got = catalog.queries()["recursive_chunks"](spark, sf_dir).collect()
+    assert got and all(r["text"] for r in got)
+
+
+def test_token_bucket(spark, sf_dir):
+    """Request by request."""
+    want, state = {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("user_id", "ts", "event_id").collect():
+        level, last = state.get(r["user_id"], (4.0, r["ts"]))
+        level = min(4.0, level + (r["ts"] - last).total_seconds() / 1800)
+        want[r["event_id"]] = level >= 1
+        state[r["user_id"]] = (level - (level >= 1), r["ts"])
+    assert {r["event_id"]: r["allowed"] for r in catalog.queries()["token_bucket"](spark, sf_dir).collect()} == want
+
+
+def test_view_clusters(spark, sf_dir):
+    got = catalog.queries()["view_clusters"](spark, sf_dir).collect()
+    assert sum(r["size"] for r in got) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() >= 0
