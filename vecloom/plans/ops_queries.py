@@ -100,7 +100,7 @@ def sliding_quota(spark, sf_dir):
 PRICES = [("view", 0.0001), ("click", 0.0004), ("purchase", 0.002), ("signup", 0.5)]
 
 
-@REG.query("WITH p(event_type, price) AS (VALUES ('view', 0.0001::DOUBLE), ('click', 0.0004), ('purchase', 0.002), ('signup', 0.5)) SELECT user_id, strftime(ts, '%Y-%m') AS month, e.event_type, count(*) AS n, round(count(*) / CASE WHEN e.event_type = 'signup' THEN 1000.0 ELSE 1.0 END * any_value(coalesce(price, 0)), 8) AS amount FROM events e LEFT JOIN p ON p.event_type = e.event_type GROUP BY ALL")
+@REG.query("WITH p(event_type, price) AS (VALUES ('view', 0.0001::DOUBLE), ('click', 0.0004), ('purchase', 0.002), ('signup', 0.5)) SELECT user_id, month, u.event_type, n, round(n / CASE WHEN u.event_type = 'signup' THEN 1000.0 ELSE 1.0 END * coalesce(price, 0), 8) AS amount FROM (SELECT user_id, strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY ALL) u LEFT JOIN p ON p.event_type = u.event_type")
 def billing_invoice(spark, sf_dir):
     """Line items by tenant, month and operation; signups are priced by the thousand, operations without a price are free."""
     prices = spark.createDataFrame(PRICES, "event_type string, price double")
