@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,44 +67,60 @@ def spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS) -> tuple
     return row, code.view(np.int64), start - first, end - first
 
 
+def _names() -> tuple[Column, Column]:
+    """What a span row knows of its document: its id, or the text's key where that is null; and a tag of 36 bits, negative for
+    null ids, that tells texts of one id apart (two texts of one id share it once in 2 ** 35)."""
+    key = text_key(F.col("text"))
+    low = key.bitwiseAND(F.lit((1 << 35) - 1))
+    doc = F.col("doc_id").cast("long")
+    return F.coalesce(doc, key), F.when(doc.isNull(), low - (1 << 35)).otherwise(low)
+
+
 def span_rows(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS) -> DataFrame:
-    """(hash, doc_id, key, at): ``at`` holds start and end of a span as start * 2 ** 32 + end."""
+    """(hash, doc, at): ``at`` is tag * 2 ** 28 + start. The end of a span follows from its start, so it isn't carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                row, code, start, end = spans([t or "" for t in piece.column("text").to_pylist()], least, chars)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(code), piece.column("doc_id").take(take), piece.column("key").take(take), pa.array((start << 32) + end)], ["hash", "doc_id", "key", "at"])
+                row, code, start, _ = spans([t or "" for t in piece.column("text").to_pylist()], least, chars)
+                if len(start) and int(start.max()) >= 1 << 28:
+                    raise ValueError("a text has more than 2 ** 28 sentences")
+                tag = piece.column("tag").to_numpy(zero_copy_only=False)[row] if len(row) else start
+                yield pa.RecordBatch.from_arrays([pa.array(code), piece.column("doc").take(pa.array(row)), pa.array((tag << 28) + start)], ["hash", "doc", "at"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInArrow(run, "hash long, doc_id long, key long, at long")
+    doc, tag = _names()
+    return docs.select(doc.alias("doc"), tag.alias("tag"), "text").mapInArrow(run, "hash long, doc long, at long")
 
 
 def repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS) -> DataFrame:
-    """The spans that aren't the first of their kind: (doc_id, key, at). One shuffle, by hash.
+    """The spans that aren't the first of their kind: (doc, tag, start). One shuffle, by hash.
 
     Equal rows (same doc_id and text) count as one document, so none of them is a repeat of another.
     """
-    w = Window.partitionBy("hash").orderBy(F.col("doc_id").asc_nulls_last(), "key", F.shiftright("at", 32))
-    first = span_rows(docs, least, chars).withColumn("first", F.first(F.struct("doc_id", "key", "at")).over(w))
-    return first.filter("not (doc_id <=> first.doc_id and key = first.key and at = first.at)").select("doc_id", "key", "at")
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())]))
-def _cut(texts: pd.Series, covered: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, at in zip(texts, covered):
-        if text is None or at is None:
-            out.append((None, None))
-            continue
-        pieces = sentences(text)
-        change = np.zeros(len(pieces) + 1, np.int64)
-        at = np.asarray(at, np.int64)
-        np.add.at(change, at >> 32, 1)
-        np.add.at(change, at & 0xFFFFFFFF, -1)
-        stay = np.cumsum(change)[:-1] == 0
-        out.append(("".join([p for p, s in zip(pieces, stay) if s]), int((~stay).sum())))
-    return pd.DataFrame(out, columns=["text", "gone"])
+    w = Window.partitionBy("hash").orderBy(F.col("at") < 0, "doc", "at")
+    first = span_rows(docs, least, chars).withColumn("first", F.first(F.struct("doc", "at")).over(w))
+    return first.filter("not (doc = first.doc and at = first.at)").select("doc", F.shiftright("at", 28).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 28) - 1)).alias("start"))
+
+
+def _cutter(least: int, chars: int):
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())]))
+    def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, at in zip(texts, starts):
+            if text is None or at is None:
+                out.append((None, None))
+                continue
+            pieces = sentences(text)
+            _, _, start, end = spans([text], least, chars)
+            change = np.zeros(len(pieces) + 1, np.int64)
+            hit = np.isin(start, np.asarray(at, np.int64))
+            np.add.at(change, start[hit], 1)
+            np.add.at(change, end[hit], -1)
+            stay = np.cumsum(change)[:-1] == 0
+            out.append(("".join([p for p, s in zip(pieces, stay) if s]), int((~stay).sum())))
+        return pd.DataFrame(out, columns=["text", "gone"])
+
+    return cut
 
 
 def drop_repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, gone: str | None = None) -> DataFrame:
@@ -114,10 +130,11 @@ def drop_repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CH
     too short for a span are never cut. ``gone`` names a column to add: the number of removed sentences.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    cut = scratch.write(repeated_spans(docs, least, chars).groupBy("doc_id", "key").agg(F.collect_set("at").alias("__vl_at")), "cut")
-    cut = cut.withColumnsRenamed({"doc_id": "__vl_id", "key": "__vl_key"})
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__vl_id")) & (text_key(F.col("text")) == F.col("__vl_key"))
-    out = docs.join(cut, on, "left").withColumn("__vl_new", _cut(F.when(F.col("__vl_at").isNotNull(), F.col("text")), F.col("__vl_at")))
+    cut = scratch.write(repeated_spans(docs, least, chars).groupBy("doc", "tag").agg(F.collect_set("start").alias("__vl_at")), "cut")
+    cut = cut.withColumnsRenamed({"doc": "__vl_doc", "tag": "__vl_tag"})
+    doc, tag = _names()
+    out = docs.join(cut, (doc == F.col("__vl_doc")) & (tag == F.col("__vl_tag")), "left")
+    out = out.withColumn("__vl_new", _cutter(least, chars)(F.when(F.col("__vl_at").isNotNull(), F.col("text")), F.col("__vl_at")))
     text = F.when(F.col("__vl_at").isNull(), F.col("text")).otherwise(F.col("__vl_new.text")).alias("text")
     more = [] if gone is None else [F.coalesce("__vl_new.gone", F.lit(0)).cast("long").alias(gone)]
     return out.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != gone], *more)
