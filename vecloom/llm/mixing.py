@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import salted_rank
+from vecloom.llm.common import salted_rank, text_key
 
-BLOCK_DOCS, QUANTUM, ALPHA, LEAST_LIVE, SALT_BITS = 8, 1000, 0.7, 0.5, 6
+BLOCK_DOCS, QUANTUM, ALPHA, LEAST_LIVE = 8, 1000, 0.7, 0.5
+#: Ranks are taken in pieces of about this many rows, however large a source is.
+ROWS_PER_SALT = 10_000
 
 
 def quantised(weights: list[float], quantum: int) -> list[int]:
@@ -96,8 +98,11 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_do
     targets = {s: (weights or {}).get(s, 0.0) for s in counts} if weights else target_weights(counts, alpha)
     plan = phases({s: -(-n // block_docs) for s, n in counts.items()}, targets, quantum, least_live)
     h = F.xxhash64(F.col("doc_id").cast("long"))
+    key = F.col("__vl_key") if "__vl_key" in docs.columns else text_key(F.col("text"))
+    bits = max(0, (max(counts.values(), default=0) // ROWS_PER_SALT).bit_length())
+    salt = F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
     named = named.withColumn("__vl_h", h.bitwiseXOR(F.lit(-(1 << 63))))
-    ranked = salted_rank(named, ["__vl_source"], F.shiftrightunsigned(h, 64 - SALT_BITS), ["__vl_h", "doc_id", "text"], "__vl_rank", few_groups=len(counts) << SALT_BITS <= 500_000)
+    ranked = salted_rank(named, ["__vl_source"], salt, ["__vl_h", "doc_id", key], "__vl_rank", few_groups=len(counts) << bits <= 500_000)
     ranked = ranked.withColumn("__vl_block", F.expr(f"__vl_rank div {block_docs}")).withColumn("__vl_at", F.col("__vl_rank") % block_docs)
     spans, rounds = [], []
     for k, p in enumerate(plan):
@@ -126,7 +131,7 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     Read in the order of (slot, position). ``slot`` is null for documents that aren't drawn. Equal rows
     have places of their own, their order among each other being of no account.
     """
-    out = scheduled(docs.select("doc_id", "source", "text"), **parameters)
+    out = scheduled(docs.select("doc_id", "source", text_key(F.col("text")).alias("__vl_key")), **parameters)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("__vl_block").alias("block"), F.col("__vl_slot").alias("slot"), F.col("__vl_at").alias("position"))
 
 
