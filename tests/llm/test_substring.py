@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from vecloom.llm import substring
@@ -54,3 +55,31 @@ def test_repeat_within_a_text(spark):
 
 def test_empty(empty):
     assert substring.drop_repeated_spans(empty).count() == 0
+
+
+def every_run(rows, least=substring.SENTENCES, chars=substring.CHARS):
+    """Text of every row by the rule that takes every run of any length; doc_ids differ."""
+    seen, out = set(), []
+    for _, text in sorted(rows):
+        pieces = substring.sentences(text)
+        low = [p.rstrip(" \t\r\n").lower() for p in pieces]
+        gone = set()
+        for i in range(len(pieces)):
+            for j in range(i + least, len(pieces) + 1):
+                if sum(map(len, low[i:j])) >= chars:
+                    if tuple(low[i:j]) in seen:
+                        gone.update(range(i, j))
+                    seen.add(tuple(low[i:j]))
+        out.append("".join(p for i, p in enumerate(pieces) if i not in gone))
+    return out
+
+
+def test_every_run(spark):
+    """Passages that end in sentences too short for a span of their own, and random short sentences."""
+    a, b, c = "A sentence that has about fifty characters in it. ", "Twenty characters. ", "And ten. "
+    rng = random.Random(5)
+    rows = [(0, f"{a}{b}{c}First text goes on."), (1, f"Another text. {a}{b}{c}It differs here.")]
+    rows += [(i, "".join(rng.choice("abc") * rng.choice([3, 9, 30]) + ". " for _ in range(rng.randint(1, 25)))) for i in range(2, 60)]
+    got = substring.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), every=True)
+    assert [r["text"] for r in got.orderBy("doc_id").collect()] == every_run(rows)
+    assert every_run(rows)[1] == "Another text. It differs here."

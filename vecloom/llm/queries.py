@@ -19,7 +19,7 @@ _MODULES = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {name: module.query for name, module in _MODULES.items()} | {"op5_substring_dedup_every_run": substring.query_every_run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,10 @@ shortest run of at least ``SENTENCES`` sentences with at least ``CHARS`` charact
 hash is joined with those of the whole corpus. Of equal spans the one with the least
 (doc_id, text key, position) is the first; every sentence that any other covers is removed.
 
+A repeated passage may end in sentences too short for a span of their own. With ``every`` the shortest run back from every
+sentence end is a span too; as the two lie side by side in any longer run, every sentence that a repeat of a run of any length
+covers is removed. The pipeline and ``op5_substring_dedup_every_run`` do that; the SQL of ``op5_substring_dedup`` has only the former.
+
 The hash of a run combines 64-bit hashes of its sentences (lower case, without the white space at
 the end) as a polynomial in their positions, so that all runs of a text cost one pass.
 """
@@ -46,8 +50,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All spans of the texts: (row, hash, start, end), the positions counting sentences."""
+def spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All spans of the texts: (row, hash, start, end), the positions counting sentences. ``every``: also the shortest runs back from an end that no start has."""
     found = [[s.rstrip(" \t\r\n").lower() for s in sentences(t)] for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     n = int(sizes.sum())
@@ -61,7 +65,14 @@ def spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS) -> tuple
         last = np.cumsum(sizes)[row] if n else start
         end = np.maximum(start + least, np.searchsorted(length, length[:-1] + chars))
         fits = end <= last
-        start, end, row = start[fits], end[fits], row[fits]
+        if every:
+            until = start + 1
+            back = np.minimum(until - least, np.searchsorted(length, length[1:] - chars, "right") - 1)
+            # The shortest run from the same start, where it ends there too, is the same span.
+            more = (back >= (np.cumsum(sizes) - sizes)[row]) & (end[np.maximum(back, 0)] != until) if n else fits
+            start, end, row = np.concatenate([start[fits], back[more]]), np.concatenate([end[fits], until[more]]), np.concatenate([row[fits], row[more]])
+        else:
+            start, end, row = start[fits], end[fits], row[fits]
         code = (total[end] - total[start]) * _powers(INVERSE, n)[start]
     first = (np.cumsum(sizes) - sizes)[row] if n else start
     return row, code.view(np.int64), start - first, end - first
@@ -76,44 +87,56 @@ def _names() -> tuple[Column, Column]:
     return F.coalesce(doc, key), F.when(doc.isNull(), low - (1 << 35)).otherwise(low)
 
 
-def span_rows(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS) -> DataFrame:
-    """(hash, doc, at): ``at`` is tag * 2 ** 28 + start. The end of a span follows from its start, so it isn't carried."""
+def _places(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What tells the spans of a text apart: 2 * start for the shortest run from a start, 2 * end - 1 for one that is only the shortest back from
+    its end. Of equal spans the order is that of the starts. The other end follows, so it isn't carried."""
+    key = (row << 32) + start
+    order = np.lexsort((end, key))
+    # ``spans`` has every shortest run from a start, so of two spans of one start the longer is of the other kind.
+    longer = np.zeros(len(key), bool)
+    longer[order[1:]] = key[order[1:]] == key[order[:-1]]
+    return np.where(longer, 2 * end - 1, 2 * start)
+
+
+def span_rows(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> DataFrame:
+    """(hash, doc, at): ``at`` is tag * 2 ** 28 + place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                row, code, start, _ = spans([t or "" for t in piece.column("text").to_pylist()], least, chars)
-                if len(start) and int(start.max()) >= 1 << 28:
-                    raise ValueError("a text has more than 2 ** 28 sentences")
-                tag = piece.column("tag").to_numpy(zero_copy_only=False)[row] if len(row) else start
-                yield pa.RecordBatch.from_arrays([pa.array(code), piece.column("doc").take(pa.array(row)), pa.array((tag << 28) + start)], ["hash", "doc", "at"])
+                row, code, start, end = spans([t or "" for t in piece.column("text").to_pylist()], least, chars, every)
+                place = _places(row, start, end)
+                if len(place) and int(place.max()) >= 1 << 28:
+                    raise ValueError("a text has more than 2 ** 27 sentences")
+                tag = piece.column("tag").to_numpy(zero_copy_only=False)[row] if len(row) else place
+                yield pa.RecordBatch.from_arrays([pa.array(code), piece.column("doc").take(pa.array(row)), pa.array((tag << 28) + place)], ["hash", "doc", "at"])
 
     doc, tag = _names()
     return docs.select(doc.alias("doc"), tag.alias("tag"), "text").mapInArrow(run, "hash long, doc long, at long")
 
 
-def repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS) -> DataFrame:
-    """The spans that aren't the first of their kind: (doc, tag, start). One shuffle, by hash.
+def repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> DataFrame:
+    """The spans that aren't the first of their kind: (doc, tag, place). One shuffle, by hash.
 
     Equal rows (same doc_id and text) count as one document, so none of them is a repeat of another.
     """
     w = Window.partitionBy("hash").orderBy(F.col("at") < 0, "doc", "at")
-    first = span_rows(docs, least, chars).withColumn("first", F.first(F.struct("doc", "at")).over(w))
-    return first.filter("not (doc = first.doc and at = first.at)").select("doc", F.shiftright("at", 28).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 28) - 1)).alias("start"))
+    first = span_rows(docs, least, chars, every).withColumn("first", F.first(F.struct("doc", "at")).over(w))
+    return first.filter("not (doc = first.doc and at = first.at)").select("doc", F.shiftright("at", 28).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 28) - 1)).alias("place"))
 
 
-def _cutter(least: int, chars: int):
+def _cutter(least: int, chars: int, every: bool):
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())]))
-    def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         out = []
-        for text, at in zip(texts, starts):
+        for text, at in zip(texts, places):
             if text is None or at is None:
                 out.append((None, None))
                 continue
             pieces = sentences(text)
-            _, _, start, end = spans([text], least, chars)
+            row, _, start, end = spans([text], least, chars, every)
             change = np.zeros(len(pieces) + 1, np.int64)
-            hit = np.isin(start, np.asarray(at, np.int64))
+            hit = np.isin(_places(row, start, end), np.asarray(at, np.int64))
             np.add.at(change, start[hit], 1)
             np.add.at(change, end[hit], -1)
             stay = np.cumsum(change)[:-1] == 0
@@ -123,18 +146,18 @@ def _cutter(least: int, chars: int):
     return cut
 
 
-def drop_repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, gone: str | None = None) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, gone: str | None = None, every: bool = False) -> DataFrame:
     """``docs`` with the repeated sentences cut out of ``text``; rows and other columns stay, whatever their names.
 
     Null texts stay null, empty ones empty; a text whose sentences are all repeats becomes empty. Texts
     too short for a span are never cut. ``gone`` names a column to add: the number of removed sentences.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    cut = scratch.write(repeated_spans(docs, least, chars).groupBy("doc", "tag").agg(F.collect_set("start").alias("__vl_at")), "cut")
+    cut = scratch.write(repeated_spans(docs, least, chars, every).groupBy("doc", "tag").agg(F.collect_set("place").alias("__vl_at")), "cut")
     cut = cut.withColumnsRenamed({"doc": "__vl_doc", "tag": "__vl_tag"})
     doc, tag = _names()
     out = docs.join(cut, (doc == F.col("__vl_doc")) & (tag == F.col("__vl_tag")), "left")
-    out = out.withColumn("__vl_new", _cutter(least, chars)(F.when(F.col("__vl_at").isNotNull(), F.col("text")), F.col("__vl_at")))
+    out = out.withColumn("__vl_new", _cutter(least, chars, every)(F.when(F.col("__vl_at").isNotNull(), F.col("text")), F.col("__vl_at")))
     text = F.when(F.col("__vl_at").isNull(), F.col("text")).otherwise(F.col("__vl_new.text")).alias("text")
     more = [] if gone is None else [F.coalesce("__vl_new.gone", F.lit(0)).cast("long").alias(gone)]
     return out.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != gone], *more)
@@ -171,3 +194,8 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return drop_repeated_spans(docs, gone="removed_sentences")
+
+
+def query_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return drop_repeated_spans(docs, gone="removed_sentences", every=True)
