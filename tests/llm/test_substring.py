@@ -83,3 +83,55 @@ def test_every_run(spark):
     got = substring.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), every=True)
     assert [r["text"] for r in got.orderBy("doc_id").collect()] == every_run(rows)
     assert every_run(rows)[1] == "Another text. It differs here."
+
+
+def test_passage_in_one_sentence(spark):
+    """Runs of 50 words in long sentences, copies of one-sentence texts, and the marks of other scripts."""
+    words = [f"w{i}" for i in range(400)]
+    long = " ".join(words[:70])
+    rows = [
+        (0, f"Start {long} here the first ends."),
+        (1, f"It begins otherwise {long} and goes on."),
+        (2, " ".join(words[100:160])),
+        (3, " ".join(words[100:160])),
+        (4, "Before. " + " ".join(words[200:249]) + " end."),
+        (5, "Other. " + " ".join(words[200:249]) + " stop."),
+        (6, "la " * 120 + "end."),
+        (7, "这是第一个相当长的句子它有二十多个字来凑足长度。" + "这是第二个同样相当长的句子它也有二十多个字。" + "甲。"),
+        (8, "这是第一个相当长的句子它有二十多个字来凑足长度。" + "这是第二个同样相当长的句子它也有二十多个字。" + "乙。"),
+    ]
+    got = [r["text"] for r in substring.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), every=True).orderBy("doc_id").collect()]
+    want = [r[1] for r in rows]
+    want[1], want[3], want[6], want[8] = "It begins otherwise and goes on.", "", "la end.", "乙。"
+    assert got == want
+
+
+def test_word_runs_against_brute_force(spark):
+    """One-sentence texts made of few passages, so that runs repeat between and within texts."""
+    rng = random.Random(11)
+    passages = [[f"p{k}x{i}" for i in range(rng.randint(30, 80))] for k in range(12)]
+    texts = [[w for _ in range(rng.randint(1, 4)) for w in rng.choice(passages)] for _ in range(40)]
+    seen, want = set(), []
+    for t in texts:
+        gone = set()
+        for i in range(len(t) - substring.WORDS + 1):
+            run = tuple(t[i : i + substring.WORDS])
+            if run in seen:
+                gone.update(range(i, i + substring.WORDS))
+            seen.add(run)
+        want.append([w for i, w in enumerate(t) if i not in gone])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert [r["text"].split() for r in substring.drop_repeated_spans(df, every=True).orderBy("doc_id").collect()] == want
+
+
+def test_no_run_of_words_stays_twice(spark):
+    """Passages cut anywhere out of texts with sentences of any length."""
+    rng = random.Random(17)
+    base = [f"q{i}" + rng.choice(["", "", "", "", "", ".", "?"]) * (i % rng.randint(1, 9) == 0) for i in range(1500)]
+    texts = [base[a : a + rng.randint(40, 200)] + [f"own{i}x{k}" for k in range(rng.randint(0, 40))] for i in range(60) for a in [rng.randint(0, 1400)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = [r["text"].split() for r in substring.drop_repeated_spans(df, every=True).orderBy("doc_id").collect()]
+    n = substring.WORDS
+    runs = Counter((tuple(t[i : i + n]), k) for k, t in enumerate(got) for i in range(len(t) - n + 1))
+    assert max(Counter(run for run, _ in runs).values()) == 1
+    assert {w for t in texts for w in t} == {w for t in got for w in t}

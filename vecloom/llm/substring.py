@@ -7,7 +7,10 @@ hash is joined with those of the whole corpus. Of equal spans the one with the l
 
 A repeated passage may end in sentences too short for a span of their own. With ``every`` the shortest run back from every
 sentence end is a span too; as the two lie side by side in any longer run, every sentence that a repeat of a run of any length
-covers is removed. The pipeline and ``op5_substring_dedup_every_run`` do that; the SQL of ``op5_substring_dedup`` has only the former.
+covers is removed. A passage may also lie in one long sentence or in parts of two: every run of ``WORDS`` words that holds no span
+of sentences between its first sentence end and its last is a span too, of which the words are removed. So no run of ``WORDS`` words
+stays twice, except where line breaks part it differently. Sentences of other scripts end at their own marks. The pipeline and
+``op5_substring_dedup_every_run`` do all that; the SQL of ``op5_substring_dedup`` has only the shortest runs from each start.
 
 The hash of a run combines 64-bit hashes of its sentences (lower case, without the white space at
 the end) as a polynomial in their positions, so that all runs of a text cost one pass.
@@ -28,15 +31,22 @@ from pyspark.sql import types as T
 
 from vecloom.llm.common import Scratch, slices, text_key
 
-SENTENCES, CHARS = 2, 40
+SENTENCES, CHARS, WORDS = 2, 40, 50
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+\Z")
+SENTENCE_ANY = re.compile(SENTENCE.pattern.replace(".!?", ".!?。！？｡．؟۔।॥።"))
+SENTENCE_END = re.compile(r"[.!?\n。！？｡．؟۔।॥።][ \t\r\n]*\Z")
+#: Scripts without spaces between words: each of their characters counts as a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff"
+WORD = re.compile(rf"\s*(?:[{UNSPACED}]|[^\s{UNSPACED}]+)\s*")
+#: Places from here on are those of runs of words.
+WORD_PLACES = 1 << 27
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def sentences(text: str) -> list[str]:
-    """Pieces that end with . ! ? or a line break and the white space after them; joined they are the text."""
-    return SENTENCE.findall(text)
+def sentences(text: str, every: bool = False) -> list[str]:
+    """Pieces that end with . ! ? or a line break and the white space after them; joined they are the text. ``every``: also at other scripts' marks."""
+    return (SENTENCE_ANY if every else SENTENCE).findall(text)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -52,7 +62,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All spans of the texts: (row, hash, start, end), the positions counting sentences. ``every``: also the shortest runs back from an end that no start has."""
-    found = [[s.rstrip(" \t\r\n").lower() for s in sentences(t)] for t in texts]
+    found = [[s.rstrip(" \t\r\n").lower() for s in sentences(t, every)] for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     n = int(sizes.sum())
     flat = [s for f in found for s in f]
@@ -78,6 +88,40 @@ def spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS, every: b
     return row, code.view(np.int64), start - first, end - first
 
 
+def word_spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of ``WORDS`` words with no span of whole sentences inside: (row, hash, start), the positions counting words.
+
+    Whether a run counts follows from its words alone: the sentence it begins in and a last one without a mark are taken for parts.
+    """
+    found = [sentences(t, True) for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    words = [WORD.findall(s) for f in found for s in f]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    n = int(counts.sum())
+    if n < WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum(counts)])  # the first word of each sentence
+    last = np.cumsum(sizes)
+    length = np.concatenate([[0], np.cumsum(np.fromiter((len(s.rstrip(" \t\r\n")) for f in found for s in f), np.int64, len(words)))])
+    ends = np.arange(len(words) + 1)
+    ends = np.minimum(np.maximum(ends + least, np.searchsorted(length, length + chars)), len(words) + 1)
+    whole = last - np.fromiter((bool(f) and SENTENCE_END.search(f[-1]) is None for f in found), np.int64, len(found))
+    row_of = np.repeat(np.arange(len(found)), sizes)
+    # The word with which the first span after each sentence ends.
+    after = np.minimum(ends[np.arange(len(words)) + 1], len(words))
+    inside = np.where(ends[np.arange(len(words)) + 1] <= whole[row_of], at[after], n + WORDS)
+    sentence = np.repeat(np.arange(len(words)), counts)
+    row, start = row_of[sentence], np.arange(n)
+    fits = (start + WORDS <= at[last][row]) & (start + WORDS < inside[sentence])
+    start, row = start[fits], row[fits]
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(x.strip().lower().encode("utf-8", "replace")) for w in words for x in w), np.uint64, n)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * _powers(BASE, n), dtype=np.uint64)])
+        # Turned over, so that it isn't the hash of sentences that are one word each.
+        code = ~((total[start + WORDS] - total[start]) * _powers(INVERSE, n)[start])
+    return row, code.view(np.int64), start - at[last - sizes][row]
+
+
 def _names() -> tuple[Column, Column]:
     """What a span row knows of its document: its id, or the text's key where that is null; and a tag of 36 bits, negative for
     null ids, that tells texts of one id apart (two texts of one id share it once in 2 ** 35)."""
@@ -104,10 +148,16 @@ def span_rows(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, every
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                row, code, start, end = spans([t or "" for t in piece.column("text").to_pylist()], least, chars, every)
+                texts = [t or "" for t in piece.column("text").to_pylist()]
+                row, code, start, end = spans(texts, least, chars, every)
                 place = _places(row, start, end)
-                if len(place) and int(place.max()) >= 1 << 28:
-                    raise ValueError("a text has more than 2 ** 27 sentences")
+                if len(place) and int(place.max()) >= WORD_PLACES:
+                    raise ValueError("a text has more than 2 ** 26 sentences")
+                if every:
+                    more, codes, start = word_spans(texts, least, chars)
+                    if len(start) and int(start.max()) >= (1 << 28) - WORD_PLACES:
+                        raise ValueError("a text has more than 2 ** 27 words")
+                    row, code, place = np.concatenate([row, more]), np.concatenate([code, codes]), np.concatenate([place, start + WORD_PLACES])
                 tag = piece.column("tag").to_numpy(zero_copy_only=False)[row] if len(row) else place
                 yield pa.RecordBatch.from_arrays([pa.array(code), piece.column("doc").take(pa.array(row)), pa.array((tag << 28) + place)], ["hash", "doc", "at"])
 
@@ -125,6 +175,19 @@ def repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS,
     return first.filter("not (doc = first.doc and at = first.at)").select("doc", F.shiftright("at", 28).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 28) - 1)).alias("place"))
 
 
+def _without(pieces: list[str], rest: list[str], starts: np.ndarray) -> None:
+    """Takes the words that the runs at ``starts`` cover out of ``rest``."""
+    split = [WORD.findall(p) for p in pieces]
+    change = np.zeros(sum(map(len, split)) + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + WORDS, -1)
+    stay, at = np.cumsum(change)[:-1] == 0, 0
+    for i, w in enumerate(split):
+        if rest[i] and w:
+            rest[i] = "".join([x for x, s in zip(w, stay[at : at + len(w)]) if s])
+        at += len(w)
+
+
 def _cutter(least: int, chars: int, every: bool):
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())]))
     def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -133,14 +196,18 @@ def _cutter(least: int, chars: int, every: bool):
             if text is None or at is None:
                 out.append((None, None))
                 continue
-            pieces = sentences(text)
+            pieces = sentences(text, every)
+            at = np.asarray(at, np.int64)
             row, _, start, end = spans([text], least, chars, every)
             change = np.zeros(len(pieces) + 1, np.int64)
-            hit = np.isin(_places(row, start, end), np.asarray(at, np.int64))
+            hit = np.isin(_places(row, start, end), at)
             np.add.at(change, start[hit], 1)
             np.add.at(change, end[hit], -1)
             stay = np.cumsum(change)[:-1] == 0
-            out.append(("".join([p for p, s in zip(pieces, stay) if s]), int((~stay).sum())))
+            rest = [p if s else "" for p, s in zip(pieces, stay)]
+            if len(words := at[at >= WORD_PLACES] - WORD_PLACES):
+                _without(pieces, rest, words)
+            out.append(("".join(rest), sum(r != p for r, p in zip(rest, pieces))))
         return pd.DataFrame(out, columns=["text", "gone"])
 
     return cut
@@ -150,7 +217,7 @@ def drop_repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CH
     """``docs`` with the repeated sentences cut out of ``text``; rows and other columns stay, whatever their names.
 
     Null texts stay null, empty ones empty; a text whose sentences are all repeats becomes empty. Texts
-    too short for a span are never cut. ``gone`` names a column to add: the number of removed sentences.
+    too short for a span are never cut. ``gone`` names a column to add: the number of sentences removed in whole or in part.
     """
     scratch = Scratch(docs.sparkSession, "spans")
     cut = scratch.write(repeated_spans(docs, least, chars, every).groupBy("doc", "tag").agg(F.collect_set("place").alias("__vl_at")), "cut")
