@@ -59,3 +59,24 @@ def test_given_weights(docs):
 
 def test_empty(empty):
     assert mixing.mix(empty).count() == 0 and mixing.drawn(empty).count() == 0
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.999, "b": 0.001}, mixing.target_weights({"hot": 5_000_000, **{f"s{i:03}": 5_000 for i in range(200)}})])
+def test_deviation_from_target_weights(weights):
+    """Less than a block from the given weights, however long the schedule."""
+    got, slots = Counter(), 40_000
+    for source, block, slot in mixing.schedule(dict.fromkeys(weights, 10**9), weights):
+        assert block == got[source]
+        got[source] += 1
+        if slot % 1000 == 999:
+            assert all(abs(got[s] - (slot + 1) * w) < 1 + 1e-6 for s, w in weights.items())
+        if slot + 1 == slots:
+            break
+    assert sum(got.values()) == slots
+
+
+def test_shuffled_schedule(docs, monkeypatch):
+    """The join that isn't broadcast gives the same places."""
+    want = mixing.mix(docs, block_docs=2).collect()
+    monkeypatch.setattr(mixing, "FEW_BLOCKS", 0)
+    assert Counter(mixing.mix(docs, block_docs=2).collect()) == Counter(want)

@@ -1,19 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in an order given by a hash of doc_id, form blocks. A source of weight w (a
-whole number of parts in ``QUANTUM``) must have its block j in one of the slots from
-floor(j * QUANTUM / w) up to ceil((j + 1) * QUANTUM / w) - 1; each slot goes to the released block with the
-earliest deadline, ties to the first source by name. As the weights add up to QUANTUM, every block meets
-its deadline, so after any number of slots each source deviates from its target by less than one block.
-
-The windows repeat every QUANTUM slots, so one round of the schedule, whose size doesn't depend on
-the data, places blocks of any number. When a source runs out, a new phase starts: its weight goes to
-the others in proportion. The mixture ends when the sources that are left hold less than
+A source's documents, in an order given by a hash of doc_id, form blocks. A source that has the share w of the
+weight must have its block j in one of the slots from floor(j / w) up to ceil((j + 1) / w) - 1; each slot goes to the
+released block with the earliest deadline, ties to the first source by name. The shares are exact fractions that add up to one, so
+every block meets its deadline, and after any number of slots each source deviates from its target by less than one block.
+
+When a source runs out, a new phase starts: its weight goes to the others in proportion, and the deviation counts from there.
+The mixture ends when the sources that are left hold less than
 ``LEAST_LIVE`` of the target weight; what remains of them is not drawn, as no mixture could be made of it.
+
+Exact shares have no short period, so the schedule is as long as the number of blocks. One task makes it slot by slot
+and hands it on in batches: its memory follows the number of sources, its time the number of blocks.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import batched
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,60 +31,47 @@ BLOCK_DOCS, QUANTUM, ALPHA, LEAST_LIVE = 8, 1000, 0.7, 0.5
 ROWS_PER_SALT = 10_000
 
 
-def quantised(weights: list[float], quantum: int) -> list[int]:
-    """Whole parts adding up to ``quantum``, at least one each: largest remainders, ties to the first."""
-    if len(weights) > quantum:
-        raise ValueError("more sources than the quantum has parts")
-    total = sum(weights)
-    spare = quantum - len(weights)
-    exact = [w * spare / total for w in weights]
-    parts = [1 + int(x) for x in exact]
-    order = sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for i in order[: quantum - sum(parts)]:
-        parts[i] += 1
-    return parts
-
-
-def round_slots(parts: list[int], quantum: int) -> list[list[int]]:
-    """One round of earliest-deadline-first: the slot of each block of each source."""
-    slots: list[list[int]] = [[] for _ in parts]
-    for t in range(quantum):
-        best = None
-        for i, w in enumerate(parts):
-            j = len(slots[i])
-            if j < w and j * quantum // w <= t:
-                deadline = -((j + 1) * -quantum // w)
-                if best is None or deadline < best[0]:
-                    best = (deadline, i)
-        deadline, i = best
-        if t >= deadline:
-            raise AssertionError("a deadline was missed")
-        slots[i].append(t)
-    return slots
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], quantum: int = QUANTUM, least_live: float = LEAST_LIVE) -> list[dict]:
-    """The schedule: for each phase its first slot, length, parts and one round's slots by source, and the first block of each source in it."""
-    names = sorted(s for s in blocks if blocks[s] > 0 and weights[s] > 0)
-    total = sum(weights[s] for s in names)
-    done = dict.fromkeys(names, 0)
-    out, at = [], 0
-    live = names
+#: A schedule of up to so many blocks is broadcast.
+FEW_BLOCKS = 500_000
+
+
+def quantised(weights: list[float], quantum: int) -> list[Fraction]:
+    """The exact parts of ``quantum`` that the weights stand for; they add up to it."""
+    exact = [Fraction(w) for w in weights]
+    total = sum(exact)
+    return [w * quantum / total for w in exact]
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float], least_live: float = LEAST_LIVE, quantum: int = QUANTUM) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) in the order of the slots, earliest deadline first. The parts are exact, so ``quantum`` doesn't matter to them."""
+    live = sorted(s for s in blocks if blocks[s] > 0 and weights[s] > 0)
+    total = sum(weights[s] for s in live)
+    done, at = dict.fromkeys(live, 0), 0
     while live and sum(weights[s] for s in live) >= least_live * total:
-        q = quantum
-        while q < 10 * len(live):
-            q *= 10
-        parts = quantised([weights[s] for s in live], q)
-        slots = round_slots(parts, q)
-        # The slot of the first block that a source hasn't got.
-        missing = [(blocks[s] - done[s]) // w * q + own[(blocks[s] - done[s]) % w] for s, w, own in zip(live, parts, slots)]
-        length = min(missing)
-        out.append({"start": at, "length": length, "quantum": q, "parts": dict(zip(live, parts)), "slots": dict(zip(live, slots)), "first": {s: done[s] for s in live}})
-        for s, w, own in zip(live, parts, slots):
-            done[s] += length // q * w + sum(x < length % q for x in own)
-        at += length
+        parts = quantised([weights[s] for s in live], quantum)
+        # Block j of a source is released at j * up // down, and due before the same of j + 1, rounded up.
+        ratio = [(quantum / w).as_integer_ratio() for w in parts]
+        waiting = [(0, i, 0) for i in range(len(live))]
+        ready: list[tuple[int, int, int]] = []
+        t = 0
+        while True:
+            while waiting and waiting[0][0] <= t:
+                _, i, j = heapq.heappop(waiting)
+                up, down = ratio[i]
+                heapq.heappush(ready, (-((j + 1) * -up // down), i, j))
+            deadline, i, j = heapq.heappop(ready)
+            if t >= deadline:
+                raise AssertionError("a deadline was missed")
+            s = live[i]
+            if done[s] >= blocks[s]:
+                break
+            yield s, done[s], at
+            done[s] += 1
+            t += 1
+            at += 1
+            up, down = ratio[i]
+            heapq.heappush(waiting, ((j + 1) * up // down, i, j + 1))
         live = [s for s in live if done[s] < blocks[s]]
-    return out
 
 
 def target_weights(counts: dict[str, int], alpha: float = ALPHA) -> dict[str, float]:
@@ -96,7 +90,7 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_do
     named = docs.withColumn("__vl_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     counts = {r[0]: r[1] for r in named.groupBy("__vl_source").count().collect()}  # one row for each source
     targets = {s: (weights or {}).get(s, 0.0) for s in counts} if weights else target_weights(counts, alpha)
-    plan = phases({s: -(-n // block_docs) for s, n in counts.items()}, targets, quantum, least_live)
+    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     h = F.xxhash64(F.col("doc_id").cast("long"))
     key = F.col("__vl_key") if "__vl_key" in docs.columns else text_key(F.col("text"))
     bits = max(0, (max(counts.values(), default=0) // ROWS_PER_SALT).bit_length())
@@ -104,24 +98,16 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_do
     named = named.withColumn("__vl_h", h.bitwiseXOR(F.lit(-(1 << 63))))
     ranked = salted_rank(named, ["__vl_source"], salt, ["__vl_h", "doc_id", key], "__vl_rank", few_groups=len(counts) << bits <= 500_000)
     ranked = ranked.withColumn("__vl_block", F.expr(f"__vl_rank div {block_docs}")).withColumn("__vl_at", F.col("__vl_rank") % block_docs)
-    spans, rounds = [], []
-    for k, p in enumerate(plan):
-        for s, w in p["parts"].items():
-            spans.append((s, k, p["first"][s], p["start"], p["length"], w, p["quantum"]))
-            rounds += [(s, k, j, t) for j, t in enumerate(p["slots"][s])]
-    by_source: dict[str, list] = {}
-    for s, *rest in spans:
-        by_source.setdefault(s, []).append(rest)
-    # All phases of a source in one row: the phase of a block is the last that starts at or before it.
-    spans_df = spark.createDataFrame([(s, [tuple(x) for x in rows]) for s, rows in by_source.items()], "s string, p array<struct<k:int,first:long,start:long,length:long,w:long,q:long>>")
-    rounds_df = spark.createDataFrame(rounds, "s2 string, k2 int, j long, t long")
-    out = ranked.join(F.broadcast(spans_df), F.col("__vl_source") == F.col("s"), "left")
-    out = out.withColumn("__vl_p", F.expr("element_at(filter(p, x -> x.first <= __vl_block), -1)"))
-    out = out.withColumn("__vl_j", F.expr("__vl_block - __vl_p.first"))
-    few = len(rounds) <= 500_000
-    out = out.join(F.broadcast(rounds_df) if few else rounds_df, F.expr("s2 = __vl_source and k2 = __vl_p.k and j = __vl_j % __vl_p.w"), "left")
-    slot = F.expr("(__vl_j div __vl_p.w) * __vl_p.q + t")
-    out = out.withColumn("__vl_slot", F.when(slot < F.col("__vl_p.length"), slot + F.col("__vl_p.start")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                for rows in batched(schedule(blocks, targets, least_live, quantum), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["s", "b", "__vl_slot"])
+
+    slots = spark.range(0, 1, 1, 1).mapInArrow(run, "s string, b long, __vl_slot long")
+    few = sum(blocks.values()) <= FEW_BLOCKS
+    out = ranked.join(F.broadcast(slots) if few else slots, F.expr("s = __vl_source and b = __vl_block"), "left")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__vl_block", "__vl_slot", "__vl_at")
 
 
