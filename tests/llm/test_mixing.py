@@ -80,3 +80,11 @@ def test_shuffled_schedule(docs, monkeypatch):
     want = mixing.mix(docs, block_docs=2).collect()
     monkeypatch.setattr(mixing, "FEW_BLOCKS", 0)
     assert Counter(mixing.mix(docs, block_docs=2).collect()) == Counter(want)
+
+
+def test_every_document_is_drawn(spark, docs, rows):
+    """A hot source, too, is used up after the others have run out."""
+    hot = spark.createDataFrame([(i, f"text {i}", "hot" if i % 10 else f"s{i % 40}") for i in range(2000)], "doc_id long, text string, source string")
+    got = mixing.mix(hot).collect()
+    assert all(r["slot"] is not None for r in got) and len({(r["slot"], r["position"]) for r in got}) == 2000
+    assert Counter((r["doc_id"], r["text"]) for r in mixing.drawn(docs).collect()) == Counter((r[0], r[1]) for r in rows)

@@ -6,8 +6,8 @@ released block with the earliest deadline, ties to the first source by name. The
 every block meets its deadline, and after any number of slots each source deviates from its target by less than one block.
 
 When a source runs out, a new phase starts: its weight goes to the others in proportion, and the deviation counts from there.
-The mixture ends when the sources that are left hold less than
-``LEAST_LIVE`` of the target weight; what remains of them is not drawn, as no mixture could be made of it.
+That goes on until every source is used up, so every document of a source with a weight is drawn. ``least_live`` above 0 ends the
+mixture earlier: when the sources that are left hold less than that share of the target weight.
 
 Exact shares have no short period, so the schedule is as long as the number of blocks. One task makes it slot by slot
 and hands it on in batches: its memory follows the number of sources, its time the number of blocks.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import salted_rank, text_key
 
-BLOCK_DOCS, QUANTUM, ALPHA, LEAST_LIVE = 8, 1000, 0.7, 0.5
+BLOCK_DOCS, QUANTUM, ALPHA, LEAST_LIVE = 8, 1000, 0.7, 0.0
 #: Ranks are taken in pieces of about this many rows, however large a source is.
 ROWS_PER_SALT = 10_000
 
