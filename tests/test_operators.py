@@ -205,3 +205,16 @@ assert "rrf_hybrid" in e.queries() and not any(n.startswith("op") or n == "pipel
 assert set(e.oracle_sql()) <= set(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_product_quantisation_is_exact(spark):
+    """Neighbours that the codes rank far down are found, for every one of several queries."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 16))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3).localCheckpoint()
+    books = knn.pq_train(v, 4, 4, rounds=3)
+    codes = knn.pq_codes(v, books).localCheckpoint()
+    x = x.astype(np.float32).astype(np.float64)
+    for q in (0, 7, 1234):
+        want = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:10].tolist()
+        assert [r["vec_id"] for r in knn.pq_search(v, codes, books, q, 10).orderBy("rank").collect()] == want

@@ -173,36 +173,65 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 7, rounds: int = 20) -> DataF
     return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell long, centroid array<double>")
 
 
-def pq_train(vectors: DataFrame, subspaces: int, codewords: int, sample: int = 20_000, rounds: int = 15, seed: int = 7) -> np.ndarray:
-    """Codebooks (subspace, codeword, dimension). A documented bounded sample of the rows, those of least hash, trains them."""
-    rows = np.array([r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()], np.float64)
-    rng, out = np.random.default_rng(seed), []
-    for part in np.split(rows, subspaces, axis=1):
-        book = part[rng.choice(len(part), min(codewords, len(part)), replace=False)].copy()
-        for _ in range(rounds):
-            near = ((part * part).sum(1)[:, None] - 2 * part @ book.T + (book * book).sum(1)).argmin(1)
-            sums, count = np.zeros_like(book), np.bincount(near, minlength=len(book))
-            np.add.at(sums, near, part)
-            book[count > 0] = sums[count > 0] / count[count > 0, None]
-        out.append(book)
-    return np.stack(out)
+def _nearest(part: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return ((part * part).sum(1)[:, None] - 2 * part @ book.T + (book * book).sum(1)).argmin(1)
+
+
+def pq_train(vectors: DataFrame, subspaces: int, codewords: int, rounds: int = 15) -> np.ndarray:
+    """Codebooks (subspace, codeword, dimension) by k-means of each subspace over all rows, from the rows of least hash.
+
+    In every round a task sends the sums and counts of each codeword; the driver holds the codebooks only.
+    """
+    first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(codewords).select("embedding").collect()
+    books = np.stack(np.split(np.array([r[0] for r in first], np.float64), subspaces, axis=1))
+    for _ in range(rounds):
+
+        def run(frames: Iterator[pd.DataFrame], books: np.ndarray = books) -> Iterator[pd.DataFrame]:
+            sums, count = np.zeros_like(books), np.zeros(books.shape[:2], np.int64)
+            for frame in frames:
+                if len(frame):
+                    for i, part in enumerate(np.split(np.stack(frame["embedding"].to_numpy()).astype(np.float64), len(books), axis=1)):
+                        near = _nearest(part, books[i])
+                        np.add.at(sums[i], near, part)
+                        count[i] += np.bincount(near, minlength=books.shape[1])
+            s, c = np.nonzero(count)
+            for d in range(books.shape[2]):
+                yield pd.DataFrame({"s": s, "c": c, "d": d, "total": sums[s, c, d], "n": count[s, c]})
+
+        moved = vectors.select("embedding").mapInPandas(run, "s long, c long, d long, total double, n long")
+        books = books.copy()
+        for s, c, d, mean in moved.groupBy("s", "c", "d").agg(F.sum("total") / F.sum("n")).collect():
+            books[s, c, d] = mean
+    return books
 
 
 def pq_codes(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+    """(vec_id, codes, error): the nearest codeword of each subspace, and the distance from the vector to what they stand for."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 parts = np.split(np.stack(frame["embedding"].to_numpy()).astype(np.float64), len(books), axis=1)
-                code = [((p * p).sum(1)[:, None] - 2 * p @ b.T + (b * b).sum(1)).argmin(1) for p, b in zip(parts, books)]
-                yield pd.DataFrame({"vec_id": frame["vec_id"], "codes": list(np.stack(code, 1).astype(np.int16))})
+                code = [_nearest(p, b) for p, b in zip(parts, books)]
+                error = np.sqrt(sum(((p - b[c]) ** 2).sum(1) for p, b, c in zip(parts, books, code)))
+                yield pd.DataFrame({"vec_id": frame["vec_id"], "codes": list(np.stack(code, 1).astype(np.int16)), "error": error})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, codes array<short>")
+    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, codes array<short>, error double")
 
 
-def pq_search(vectors: DataFrame, codes: DataFrame, books: np.ndarray, query_id: int, k: int, rerank: int = 10) -> DataFrame:
-    """Asymmetric distances by table lookup over the codes, the top k * rerank ranked again by exact distance."""
+def pq_candidates(vectors: DataFrame, codes: DataFrame, books: np.ndarray, query_id: int, k: int) -> DataFrame:
+    """(vec_id) of the rows that may be among the k nearest: the asymmetric distance, by table lookup over the codes, less the row's quantisation
+    error is at most the largest exact distance of the k rows that the codes rank first. As many as that may be."""
     q = np.array(vectors.filter(F.col("vec_id") == query_id).first()["embedding"], np.float64)
     table = F.array(*[F.array(*[F.lit(float(x)) for x in ((b - p) ** 2).sum(1)]) for b, p in zip(books, np.split(q, len(books)))])
     d2 = F.aggregate(F.sequence(F.lit(0), F.lit(len(books) - 1)), F.lit(0.0), lambda s, i: s + F.get(F.get(F.col("t"), i), F.get(F.col("codes"), i).cast("int")))
-    found = codes.withColumn("t", table).withColumn("adc", d2).orderBy("adc", "vec_id").limit(k * rerank).select("vec_id")
-    return exact(vectors.join(F.broadcast(found), "vec_id", "left_semi"), query_vector(vectors, query_id), k, "euclidean")
+    coded = codes.withColumn("t", table).withColumn("adc", F.sqrt(d2)).drop("t")
+    best = coded.orderBy("adc", "vec_id").limit(k).select("vec_id")
+    most = exact(vectors.join(F.broadcast(best), "vec_id", "left_semi"), query_vector(vectors, query_id), k, "euclidean").agg(F.max("distance").alias("most"))
+    return coded.crossJoin(F.broadcast(most)).filter(F.col("adc") - F.col("error") <= F.col("most") + 1e-6).select("vec_id")
+
+
+def pq_search(vectors: DataFrame, codes: DataFrame, books: np.ndarray, query_id: int, k: int) -> DataFrame:
+    """All candidates of the codes ranked again by exact distance: the exact k nearest, ties by vec_id."""
+    found = pq_candidates(vectors, codes, books, query_id, k)
+    return exact(vectors.join(found, "vec_id", "left_semi"), query_vector(vectors, query_id), k, "euclidean")

@@ -162,7 +162,7 @@ def kmeans_ivf(spark, sf_dir):
 
 @REG.query()
 def knn_pq(spark, sf_dir):
-    """Product quantisation with 16 subspaces of 64 codewords, the best 10 k ranked again."""
+    """Product quantisation with 16 subspaces of 64 codewords; every row that the codes don't rule out is ranked again."""
     e = embeddings(spark, sf_dir, "vec_id", "embedding")
     books = knn.pq_train(e, 16, 64)
     return rounded(knn.pq_search(e, knn.pq_codes(e, books), books, 0, K))
