@@ -37,6 +37,27 @@ def test_odd_dimensions_and_thresholds(spark):
     check(spark, [(i, x.tolist()) for i, x in enumerate(planted(3, 90, 13))], least_cosine=0.8, block=5)
 
 
+def test_pieces_and_large_near_groups(spark, monkeypatch):
+    """Cells split into pieces of a few rows, and groups of near vectors that aren't expanded into their pairs."""
+    for name, value in (("CELL_ROWS", 10), ("OWN_ROWS", 7), ("BALL_ROWS", 11)):
+        monkeypatch.setattr(embedding, name, value)
+    rng = np.random.default_rng(6)
+    v = np.concatenate([planted(5, 60, 24), rng.standard_normal(24) + rng.standard_normal((80, 24)) * 0.12])
+    check(spark, [(i, x.tolist()) for i, x in enumerate(v)], block=6)
+
+
+def test_all_pairs_and_forest(spark):
+    """Every near pair once; the forest's edges are some of them, at most one fewer than the vectors in every task."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal(16) + rng.standard_normal((40, 16)) * rng.uniform(0.05, 0.5, (40, 1))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if unit[a] @ unit[b] >= 0.9}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = [(r["a"], r["b"]) for r in embedding.near_pairs(df, 0.9, block=8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(r["a"], r["b"]) for r in embedding.near_pairs(df, 0.9, block=8, forest=True).collect()} <= want
+
+
 def test_edges(spark):
     v = planted(4, 12, 64).tolist()
     rows = [(i, x) for i, x in enumerate(v)] + [(100, None), (101, []), (102, [0.0] * 64), (103, [float("nan")] * 64), (104, v[0][:8]), (105, [None, *v[0][1:]]), (None, v[0]), (106, v[5]), (107, v[5]), (107, v[5])]
