@@ -41,5 +41,24 @@ def test_query(docs, rows, vocabulary):
     assert got == sorted(((r[0], None if r[1] is None else want(r[1])) for r in rows), key=repr)
 
 
+def test_two_vocabularies_in_one_worker(spark):
+    """Vocabularies that differ in few of many entries have counts of their own."""
+    base = [("<unk>", 0.0), *[(f"piece{i}", -5.0) for i in range(3000)], *[(c, -9.0) for c in "abcdefghijklmnopqrstuvwxyz" + tokens.MARK]]
+    other = list(base)
+    other[77] = (tokens.MARK + "hello", -1.0)
+    df = spark.createDataFrame([(1, "hello world")], "doc_id long, text string").coalesce(1)
+    got = [tokens.count_tokens(df, v).first()["tokens"] for v in (base, other, base)]
+    assert got == [library(v, False)("hello world") for v in (base, other, base)] and got[0] != got[1]
+
+
+def test_long_text_without_spaces():
+    """The ring of last ends is as long as the longest piece needs."""
+    v = [("<unk>", 0.0), (tokens.MARK, -2.0), ("a", -2.0), ("ab", -3.0), ("bab", -3.5), ("b", -2.5), ("abba", -4.0)]
+    rng = random.Random(3)
+    for alphabet in ("ab", "abc"):
+        s = "".join(rng.choice(alphabet) for _ in range(30_000))
+        assert tokens.Counts(v).of_text(s) == library(v, False)(s)
+
+
 def test_empty(empty):
     assert tokens.count_tokens(empty).count() == 0

@@ -13,9 +13,11 @@ probabilities; its piece of rank r gets the score -ln(r + 1), Zipf's law.
 
 from __future__ import annotations
 
+import hashlib
 import importlib.util
 import math
 import os
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -60,48 +62,62 @@ class Counts(dict):
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.ring = max((len(p) for p, _ in vocabulary), default=0) + 2
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.bytes = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in vocabulary}
 
     def count(self, word: str) -> int:
-        n = len(word)
+        """Scores and counts by end are kept for the ``ring`` last ends, more than the longest piece has characters."""
+        n, ring = len(word), self.ring
         low = float("-inf")
-        best, pieces = [low] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
+        best, pieces = [low] * ring, [0] * ring
+        best[0], at = 0.0, 0  # ``at``: the last end whose place in the ring is its own
         if self.single.issuperset(word):
             for last, (length, score) in self.automaton.iter(word):
                 end = last + 1
-                start = end - length
+                if end > at:  # every character is a piece, so no end is passed over
+                    best[end % ring], at = low, end
+                start = (end - length) % ring
                 total = score + best[start]
-                if total > best[end]:
-                    best[end] = total
-                    pieces[end] = pieces[start] + 1
-            return pieces[n]
+                if total > best[end % ring]:
+                    best[end % ring] = total
+                    pieces[end % ring] = pieces[start] + 1
+            return pieces[n % ring]
         # Some character is no piece: its edge comes after the longer pieces with the same end.
-        done, fused = 0, [False] * (n + 1)
+        fused = [False] * ring
 
         def unknowns(upto: int) -> None:
             nonlocal done
             while done < upto:
                 c = word[done]
                 done += 1
+                begin(done)
                 if c not in self.single:
-                    total = self.unknown + best[done - 1]
-                    if total > best[done]:
-                        best[done] = total
-                        more = len(c.encode("utf-8", "replace")) if self.bytes else 1 - fused[done - 1]
-                        pieces[done], fused[done] = pieces[done - 1] + more, True
-
+                    now, before = done % ring, (done - 1) % ring
+                    total = self.unknown + best[before]
+                    if total > best[now]:
+                        best[now] = total
+                        more = len(c.encode("utf-8", "replace")) if self.bytes else 1 - fused[before]
+                        pieces[now], fused[now] = pieces[before] + more, True
+
+        def begin(end: int) -> None:
+            nonlocal at
+            if end > at:
+                best[end % ring], pieces[end % ring], fused[end % ring], at = low, 0, False, end
+
+        done = 0
         for last, (length, score) in self.automaton.iter(word):
             end = last + 1
             unknowns(last)
-            total = score + best[end - length]
-            if total > best[end]:
-                best[end] = total
-                pieces[end], fused[end] = pieces[end - length] + 1, False
+            begin(end)
+            now, start = end % ring, (end - length) % ring
+            total = score + best[start]
+            if total > best[now]:
+                best[now] = total
+                pieces[now], fused[now] = pieces[start] + 1, False
         unknowns(n)
-        return pieces[n]
+        return pieces[n % ring]
 
     def __missing__(self, word: str) -> int:
         value = self.count(MARK + word)
@@ -120,20 +136,33 @@ class Counts(dict):
         return sum(map(self.__getitem__, words))
 
 
-_COUNTS: dict[int, Counts] = {}
+#: The automaton a worker keeps, by a digest of the whole vocabulary.
+_COUNTS: dict[bytes, Counts] = {}
+
+
+def vocabulary_key(vocabulary: list[tuple[str, float]]) -> bytes:
+    """A digest of every piece and score, in their order."""
+    h = hashlib.sha256()
+    for piece, score in vocabulary:
+        raw = piece.encode("utf-8", "surrogatepass")
+        h.update(struct.pack("<qd", len(raw), score))
+        h.update(raw)
+    return h.digest()
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]] | str | None = None) -> DataFrame:
     """One row for each document: (doc_id, tokens). ``vocabulary``: pieces with scores, or a model's path.
 
-    A null text has null tokens, an empty one 0. No shuffle; equal rows get equal counts; extra columns aren't read.
+    A null text has null tokens, an empty one 0, and an empty table gives no rows. No shuffle; equal rows get equal counts; extra columns
+    aren't read. A word of any length, such as a long text without spaces, is counted piece by piece of the text: the programming
+    keeps scores and counts of the last characters only, as many as the longest piece has.
     """
     if vocabulary is None or isinstance(vocabulary, str):
         vocabulary = read_vocabulary(vocabulary or tokenizer_path(MODEL))
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # its size doesn't depend on the data
+    key = vocabulary_key(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(sent.value[:: max(1, len(sent.value) // 64)])) ^ len(sent.value)
         if key not in _COUNTS:
             _COUNTS.clear()
             _COUNTS[key] = Counts(sent.value)
