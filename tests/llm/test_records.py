@@ -69,6 +69,30 @@ def test_damage_is_found(spark, docs, tmp_path):
         records.read_records(index, str(tmp_path)).collect()
 
 
+def test_ids_of_four_bytes(spark, tmp_path):
+    """A vocabulary of more than 65,536 ids is written with four bytes an id, and the index says so to the reader."""
+    import base64
+
+    ranks = [bytes([b]) for b in range(256)]
+    seen = set(ranks)
+    for a in range(97, 123):  # pairs, then pairs with a third and a fourth letter, so that every merge has both parts
+        for b in range(97, 123):
+            ranks.append(bytes([a, b]))
+    for p in list(ranks[256:]):
+        ranks += [p + bytes([c]) for c in range(97, 123)]
+    for p in list(ranks[256 + 676 :]):
+        ranks += [p + bytes([c]) for c in range(97, 101)]
+    assert len(ranks) > 65_536 and len(set(ranks)) == len(ranks) and seen <= set(ranks)
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(r) + b" " + str(i).encode() + b"\n" for i, r in enumerate(ranks)))
+    df = spark.createDataFrame([(1, "zzza zzzd"), (2, ""), (3, "abcd")], "doc_id long, text string")
+    index = records.write_records(df, str(tmp_path / "out"), str(path))
+    encode = records.encoder(path.read_bytes())
+    got = {r["doc_id"]: r["ids"] for r in records.read_records(index, str(tmp_path / "out")).collect()}
+    assert got == {i: encode.encode_ordinary(t) for i, t in ((1, "zzza zzzd"), (2, ""), (3, "abcd"))} and max(got[1]) > 65_535
+    assert {r["width"] for r in index.collect()} == {4}
+
+
 def test_empty(spark, empty, tmp_path):
     assert records.write_records(empty, str(tmp_path)).count() == 0
     assert records.read_shuffled(spark, str(tmp_path)).count() == 0

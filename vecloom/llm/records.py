@@ -144,19 +144,23 @@ def encoder(ranks: bytes):
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
+    for spark_name, name in (("s3a://", "s3://"), ("abfss://", "abfs://")):
+        path = path.replace(spark_name, name, 1) if path.startswith(spark_name) else path
     if "://" in path or path.startswith("file:/"):
         return fs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///", 1))
     return fs.LocalFileSystem(), path
 
 
-INDEX = "doc_id long, file string, offset long, length long, tokens long, checksum long"
+INDEX = "doc_id long, file string, offset long, length long, tokens long, checksum long, width int"
 
 
 def write_records(docs: DataFrame, path: str, ranks: str | None = None) -> DataFrame:
     """Writes records under ``path``/records and the index to ``path``/index; returns the index.
 
-    One record and one index row (doc_id, file, offset, length, tokens, checksum) for each row with a text; an empty text is a
+    One record and one index row (doc_id, file, offset, length, tokens, checksum, width: the bytes of an id) for each row with a text; an empty text is a
     record without ids. Rows with a null text or a null doc_id have no record. Equal rows have one record each; extra columns aren't read.
+    An empty table gives an empty index. A text of any length is one record, encoded as a whole in its task.
+    ``path`` lies on a file system that pyarrow reads by its address (file, hdfs, s3, gs, abfs; s3a and abfss addresses are read as those).
     """
     spark = docs.sparkSession
     with open(ranks or ranks_path(), "rb") as f:
@@ -180,8 +184,8 @@ def write_records(docs: DataFrame, path: str, ranks: str | None = None) -> DataF
                     out.write(data)
                     n = len(tokens)
                     yield pa.RecordBatch.from_arrays(
-                        [piece.column("doc_id"), pa.array([name] * n, pa.string()), pa.array(offsets + done), pa.array(sizes), pa.array((sizes - 8) // width), pa.array(sums.astype(np.int64))],
-                        ["doc_id", "file", "offset", "length", "tokens", "checksum"],
+                        [piece.column("doc_id"), pa.array([name] * n, pa.string()), pa.array(offsets + done), pa.array(sizes), pa.array((sizes - 8) // width), pa.array(sums.astype(np.int64)), pa.array(np.full(n, width, np.int32))],
+                        ["doc_id", "file", "offset", "length", "tokens", "checksum", "width"],
                     )
                     done += len(data)
         finally:
@@ -198,7 +202,7 @@ def write_records(docs: DataFrame, path: str, ranks: str | None = None) -> DataF
     return index
 
 
-def read_records(index: DataFrame, path: str, width: int = 2, check: bool = True) -> DataFrame:
+def read_records(index: DataFrame, path: str, check: bool = True) -> DataFrame:
     """(doc_id, ids) of the index rows, in their order within each partition; a wrong length or checksum raises."""
     folder = f"{path}/records"
 
@@ -207,7 +211,7 @@ def read_records(index: DataFrame, path: str, width: int = 2, check: bool = True
         files: dict = {}
         for batch in batches:
             who, ids = [], []
-            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
+            for name, offset, length, width in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "width"))):
                 if name not in files:
                     if len(files) >= 64:
                         files.pop(next(iter(files))).close()
@@ -225,7 +229,7 @@ def read_records(index: DataFrame, path: str, width: int = 2, check: bool = True
         for f in files.values():
             f.close()
 
-    return index.select("file", "offset", "length").mapInArrow(run, "doc_id long, ids array<int>")
+    return index.select("file", "offset", "length", "width").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def read_shuffled(spark: SparkSession, path: str, seed: int = 0, **parameters) -> DataFrame:
