@@ -88,3 +88,14 @@ def test_every_document_is_drawn(spark, docs, rows):
     got = mixing.mix(hot).collect()
     assert all(r["slot"] is not None for r in got) and len({(r["slot"], r["position"]) for r in got}) == 2000
     assert Counter((r["doc_id"], r["text"]) for r in mixing.drawn(docs).collect()) == Counter((r[0], r[1]) for r in rows)
+
+
+def test_clashing_column_names(spark, rows):
+    """Columns may bear the names that the plan used inside, whatever their case."""
+    names = ["p", "s", "b", "t", "j", "k2", "s2", "__at", "__salt", "__n", "__before", "__g0", "Slot", "position", "__AT"]
+    names = [n for i, n in enumerate(names) if n.lower() not in [m.lower() for m in names[:i]]]
+    df = spark.createDataFrame([(*r[:2], r[3], *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    got = mixing.drawn(df, block_docs=2)
+    assert got.columns == df.columns
+    assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in df.collect())
+    assert mixing.mix(df).count() == len(rows)

@@ -45,3 +45,11 @@ def test_bad_sizes():
 
 def test_empty(empty):
     assert sharding.shard(empty, "doc_id", sharding.shard_names()).count() == 0
+
+
+@pytest.mark.parametrize("key,want", [("slot", ["slot", "slot_", "shard"]), ("shard", ["shard", "slot", "shard_"]), ("a.b", ["a.b", "slot", "shard"])])
+def test_clashing_key_names(spark, key, want):
+    df = spark.createDataFrame([(i, i) for i in range(40)], f"`{key}` long, slot_x long")
+    got = sharding.shard(df, key, sharding.shard_names(5), 101)
+    plain = sharding.shard(spark.createDataFrame([(i,) for i in range(40)], "id long"), "id", sharding.shard_names(5), 101)
+    assert got.columns == want and Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in plain.collect())

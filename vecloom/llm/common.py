@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +22,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a temporary folder is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, on one machine a temporary folder is set; a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vecloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,6 +52,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_memory() -> None:
+    """Hands memory that a worker has freed back to the system; workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_key(text: Column) -> Column:
     """Tells rows of one doc_id apart; a null text has its own key."""
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))
@@ -74,30 +87,39 @@ def salted_rank(df: DataFrame, group: list[str], salt: Column, order: list, out:
     in any order. Null group values form groups of their own. ``few_groups``: the caller has checked
     that the table of groups by salts is small, so that it is broadcast and ``df`` isn't shuffled again.
     """
-    df = df.withColumn("__salt", salt)
-    keys = [*group, "__salt"]
-    piece = Window.partitionBy(*keys)
-    within = df.withColumn("__at", F.row_number().over(piece.orderBy(*order)))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    same = [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
+    names = [unused(f"__vl_g{i}", df.columns) for i in range(len(group) + 1)]
+    at, before_name, n = (unused(x, df.columns) for x in ("__vl_at", "__vl_before", "__vl_n"))
+    salt_name = names[-1] + "s"
+    df = df.withColumn(salt_name, salt)
+    keys = [*group, salt_name]
+    within = df.withColumn(at, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*group).orderBy(salt_name).rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*[F.col(k).alias(g) for k, g in zip(keys, names)], F.coalesce(F.sum(n).over(before), F.lit(0)).alias(before_name))
+    on = F.lit(True)
+    for k, g in zip(keys, names):
+        on = on & F.col(k).eqNullSafe(F.col(g))
     joined = within.join(F.broadcast(shift) if few_groups else shift, on)
-    return joined.withColumn(out, F.col("__before") + F.col("__at") - 1).drop("__salt", "__at", "__before", *[f"__g{i}" for i in range(len(keys))])
+    return joined.withColumn(out, F.col(before_name) + F.col(at) - 1).drop(salt_name, at, before_name, *names)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it, upper and lower case alike."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken or name.lower() + "s" in taken:
+        name += "_"
+    return name
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of the undirected ``edges(a, b)``: rows (node, component), the component being its smallest node.
 
     Alternating large-star and small-star steps; each round's edges are written to the shared
-    folder. Rounds grow with the logarithm of the longest path, and a run that doesn't settle raises.
+    folder. Rounds grow with the logarithm of the longest path and go on until nothing changes.
     """
     cur = scratch.write(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc0")
     last = None
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -110,4 +132,3 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if state == last:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(cur.select(F.col("b"), F.col("b"))).distinct()
         last = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

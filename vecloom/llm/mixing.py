@@ -84,7 +84,9 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_do
     """``docs`` with three columns: ``__vl_block`` (in its source), ``__vl_slot`` (null if not drawn), ``__vl_at`` (in its block).
 
     Null sources are one source named by the empty string. ``weights`` by source replace the targets
-    that are made of the counts of all documents; a source they don't name isn't drawn. An empty table stays empty.
+    that are made of the counts of all documents; a source they don't name isn't drawn. An empty table stays empty. Texts, null,
+    empty or very long, only tell rows of one doc_id apart; null ids are ranked like any other. Columns may have any names but
+    those that begin with ``__vl_``.
     """
     spark = docs.sparkSession
     named = docs.withColumn("__vl_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
@@ -103,11 +105,11 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_do
         for batch in batches:
             for _ in range(batch.num_rows):
                 for rows in batched(schedule(blocks, targets, least_live, quantum), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["s", "b", "__vl_slot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["__vl_s", "__vl_b", "__vl_slot"])
 
-    slots = spark.range(0, 1, 1, 1).mapInArrow(run, "s string, b long, __vl_slot long")
+    slots = spark.range(0, 1, 1, 1).mapInArrow(run, "__vl_s string, __vl_b long, __vl_slot long")
     few = sum(blocks.values()) <= FEW_BLOCKS
-    out = ranked.join(F.broadcast(slots) if few else slots, F.expr("s = __vl_source and b = __vl_block"), "left")
+    out = ranked.join(F.broadcast(slots) if few else slots, F.expr("__vl_s = __vl_source and __vl_b = __vl_block"), "left")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__vl_block", "__vl_slot", "__vl_at")
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.llm.common import unused
+
 SHARDS, SIZE = 64, 6553
 
 
@@ -54,11 +56,15 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 
 
 def shard(df: DataFrame, key: str, shards: list[str], size: int = SIZE) -> DataFrame:
-    """One row for each row of ``df``: (key, slot, shard). Equal keys share a shard; a null key has one too; no shuffle."""
+    """One row for each row of ``df``: (key, slot, shard). Equal keys share a shard; a null key has one too; no shuffle.
+
+    Other columns aren't read. Where the key itself is called slot or shard, the new column has an underscore more. An empty table gives no rows.
+    """
     table = lookup_table(shards, size)
     lookup = df.sparkSession.createDataFrame(pd.DataFrame({"slot_": range(size), "shard": [shards[i] for i in table]}), "slot_ long, shard string")
-    rows = df.select(F.col(key)).withColumn("slot", slot_of(F.col(key), size))
-    return rows.join(F.broadcast(lookup), F.col("slot") == F.col("slot_"), "left").select(key, "slot", "shard")
+    slot, name = (unused(x, [key]) for x in ("slot", "shard"))
+    rows = df.select(F.col(f"`{key}`").alias("key_")).withColumn("slot", slot_of(F.col("key_"), size))
+    return rows.join(F.broadcast(lookup), F.col("slot") == F.col("slot_"), "left").select(F.col("key_").alias(key), F.col("slot").alias(slot), F.col("shard").alias(name))
 
 
 def shard_names(n: int = SHARDS) -> list[str]:
