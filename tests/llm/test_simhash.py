@@ -97,3 +97,10 @@ def test_bits_are_balanced():
     texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(200)]
     _, bits = simhash.fingerprints(texts, 125)
     assert 0.3 < np.mean(bits) < 0.7
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """Rows that go are counted out in pieces of bounded size."""
+    monkeypatch.setattr(simhash, "AT_ONCE", 4)
+    df = spark.createDataFrame([(7, "the same words over and over again here")] * 23 + [(3, "the same words over and over again here"), (4, "quite another text with other words in it")], "doc_id long, text string")
+    assert sorted((r[0], r[1]) for r in simhash.near_duplicates(df).collect()) == [(7, 3)] * 23

@@ -27,6 +27,8 @@ from vecloom.llm.common import Scratch, components, slices, text_key
 
 BLOCKS, WIDTH = 5, 25
 RADIUS = 3 * BLOCKS - 1
+#: Equal rows that one array stands for.
+AT_ONCE = 10_000
 
 
 #: Lower-case UTF-8 bytes to words: ASCII punctuation, white space and controls part them, all else is kept.
@@ -130,7 +132,8 @@ def near_groups(docs: DataFrame, blocks: int = BLOCKS, width: int = WIDTH, radiu
     A group is a connected component of the near relation, equal fingerprints included; its
     kept document has the least doc_id (nulls last), then the least key. ``rows`` counts equal rows.
 
-    Null texts, and texts of white space only, are in no group. Equal rows count as copies of each other.
+    Null texts, and texts of white space only, are in no group. Equal rows count as copies of each other. A text of any length is read
+    whole; its worker holds its words and their counts. Columns other than doc_id and text aren't read.
     """
     radius = 3 * blocks - 1 if radius is None else radius
     if radius > 3 * blocks - 1:
@@ -154,7 +157,9 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """
     members = near_groups(docs, **parameters)
     gone = F.when(F.col("keep"), F.col("rows") - 1).otherwise(F.col("rows"))
-    return members.withColumn("gone", gone).filter("gone > 0").select("doc_id", F.col("keep_id").alias("duplicate_of"), F.explode(F.sequence(F.lit(1).cast("long"), "gone")).alias("i")).drop("i")
+    # Two steps, so that no array grows with the number of equal rows.
+    many = members.withColumn("gone", gone).filter("gone > 0").select("doc_id", F.col("keep_id").alias("duplicate_of"), "gone", F.explode(F.expr(f"sequence(0L, (gone - 1) div {AT_ONCE})")).alias("k"))
+    return many.select("doc_id", "duplicate_of", F.explode(F.expr(f"sequence(1L, least({AT_ONCE}L, gone - k * {AT_ONCE}L))")).alias("i")).drop("i")
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
