@@ -135,3 +135,19 @@ def test_no_run_of_words_stays_twice(spark):
     runs = Counter((tuple(t[i : i + n]), k) for k, t in enumerate(got) for i in range(len(t) - n + 1))
     assert max(Counter(run for run, _ in runs).values()) == 1
     assert {w for t in texts for w in t} == {w for t in got for w in t}
+
+
+def test_hot_passage_sends_one_row_a_batch(spark):
+    """Of a passage in every document, one row of each batch takes part in the comparison; the result is the same."""
+    passage = "A passage of one sentence here. And of another one that follows."
+    rows = [(i, f"Text number {i} begins. {passage} It ends as {i * i}.") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = substring.span_rows(df).filter("not sure").groupBy("hash", "more").count().agg({"count": "max"}).first()[0]
+    assert spans <= 4
+    got = substring.drop_repeated_spans(df, gone="removed").collect()
+    assert Counter((r["doc_id"], r["text"], r["removed"]) for r in got) == Counter(brute(rows))
+
+
+def test_places_of_very_long_texts():
+    """A tag and a place share 64 bits: 28 for the tag with its sign, 36 for the place, which no text exceeds."""
+    assert substring.TAG_BITS + 1 + substring.PLACE_BITS == 64 and substring.WORD_PLACES > 2 * 2**31

@@ -12,14 +12,18 @@ of sentences between its first sentence end and its last is a span too, of which
 stays twice, except where line breaks part it differently. Sentences of other scripts end at their own marks. The pipeline and
 ``op5_substring_dedup_every_run`` do all that; the SQL of ``op5_substring_dedup`` has only the shortest runs from each start.
 
-The hash of a run combines 64-bit hashes of its sentences (lower case, without the white space at
-the end) as a polynomial in their positions, so that all runs of a text cost one pass.
+The hash of a run combines hashes of its sentences (lower case, without the white space at
+the end) as a polynomial in their positions, so that all runs of a text cost one pass. It has 96 bits, of two polynomials, as a chance
+collision would cut a text: with 3e12 spans (100 TB) one is expected once in 2e4 such corpora.
+
+Only the first of equal spans in a batch of documents can be the first of all; the others are repeats without any join. So a passage
+that very many documents share sends a row for each batch, not for each document, to the task that orders its occurrences.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,10 +42,12 @@ SENTENCE_END = re.compile(r"[.!?\n。！？｡．؟۔।॥።][ \t\r\n]*\Z")
 #: Scripts without spaces between words: each of their characters counts as a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff"
 WORD = re.compile(rf"\s*(?:[{UNSPACED}]|[^\s{UNSPACED}]+)\s*")
-#: Places from here on are those of runs of words.
-WORD_PLACES = 1 << 27
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+#: A place has so many bits, enough for any text; those from WORD_PLACES on are of runs of words.
+PLACE_BITS = 36
+WORD_PLACES = 1 << (PLACE_BITS - 1)
+#: Two hashes of a run, of 64 and of 32 bits, have bases of their own.
+BASES = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1
+INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 
 
 def sentences(text: str, every: bool = False) -> list[str]:
@@ -60,36 +66,50 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All spans of the texts: (row, hash, start, end), the positions counting sentences. ``every``: also the shortest runs back from an end that no start has."""
+def _digests(items: Iterable[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each string."""
+    raw = b"".join([xxhash.xxh3_128_digest(s.encode("utf-8", "replace")) for s in items])
+    both = np.frombuffer(raw, ">u8").reshape(n, 2).astype(np.uint64)
+    return both[:, 0], both[:, 1]
+
+
+def _run_hashes(digests: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64 bits, 32 bits) of the runs from ``start`` up to ``end``."""
+    out = []
+    with np.errstate(over="ignore"):
+        for digest, base, inverse in zip(digests, BASES, INVERSES):
+            n = len(digest)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * _powers(base, n), dtype=np.uint64)])
+            out.append((total[end] - total[start]) * _powers(inverse, n)[start])
+    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """All spans of the texts: (row, hashes, start, end), the positions counting sentences. ``every``: also the shortest runs back from an end that no start has."""
     found = [[s.rstrip(" \t\r\n").lower() for s in sentences(t, every)] for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     n = int(sizes.sum())
     flat = [s for f in found for s in f]
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) for s in flat), np.uint64, n)
     length = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, n))])
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * _powers(BASE, n), dtype=np.uint64)])
-        start = np.arange(n)
-        row = np.repeat(np.arange(len(found)), sizes)
-        last = np.cumsum(sizes)[row] if n else start
-        end = np.maximum(start + least, np.searchsorted(length, length[:-1] + chars))
-        fits = end <= last
-        if every:
-            until = start + 1
-            back = np.minimum(until - least, np.searchsorted(length, length[1:] - chars, "right") - 1)
-            # The shortest run from the same start, where it ends there too, is the same span.
-            more = (back >= (np.cumsum(sizes) - sizes)[row]) & (end[np.maximum(back, 0)] != until) if n else fits
-            start, end, row = np.concatenate([start[fits], back[more]]), np.concatenate([end[fits], until[more]]), np.concatenate([row[fits], row[more]])
-        else:
-            start, end, row = start[fits], end[fits], row[fits]
-        code = (total[end] - total[start]) * _powers(INVERSE, n)[start]
+    start = np.arange(n)
+    row = np.repeat(np.arange(len(found)), sizes)
+    last = np.cumsum(sizes)[row] if n else start
+    end = np.maximum(start + least, np.searchsorted(length, length[:-1] + chars))
+    fits = end <= last
+    if every:
+        until = start + 1
+        back = np.minimum(until - least, np.searchsorted(length, length[1:] - chars, "right") - 1)
+        # The shortest run from the same start, where it ends there too, is the same span.
+        more = (back >= (np.cumsum(sizes) - sizes)[row]) & (end[np.maximum(back, 0)] != until) if n else fits
+        start, end, row = np.concatenate([start[fits], back[more]]), np.concatenate([end[fits], until[more]]), np.concatenate([row[fits], row[more]])
+    else:
+        start, end, row = start[fits], end[fits], row[fits]
     first = (np.cumsum(sizes) - sizes)[row] if n else start
-    return row, code.view(np.int64), start - first, end - first
+    return row, _run_hashes(_digests(flat, n), start, end), start - first, end - first
 
 
-def word_spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of ``WORDS`` words with no span of whole sentences inside: (row, hash, start), the positions counting words.
+def word_spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The runs of ``WORDS`` words with no span of whole sentences inside: (row, hashes, start), the positions counting words.
 
     Whether a run counts follows from its words alone: the sentence it begins in and a last one without a mark are taken for parts.
     """
@@ -99,7 +119,7 @@ def word_spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS) ->
     counts = np.fromiter(map(len, words), np.int64, len(words))
     n = int(counts.sum())
     if n < WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int32)), np.zeros(0, np.int64)
     at = np.concatenate([[0], np.cumsum(counts)])  # the first word of each sentence
     last = np.cumsum(sizes)
     length = np.concatenate([[0], np.cumsum(np.fromiter((len(s.rstrip(" \t\r\n")) for f in found for s in f), np.int64, len(words)))])
@@ -114,21 +134,21 @@ def word_spans(texts: list[str], least: int = SENTENCES, chars: int = CHARS) ->
     row, start = row_of[sentence], np.arange(n)
     fits = (start + WORDS <= at[last][row]) & (start + WORDS < inside[sentence])
     start, row = start[fits], row[fits]
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(x.strip().lower().encode("utf-8", "replace")) for w in words for x in w), np.uint64, n)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * _powers(BASE, n), dtype=np.uint64)])
-        # Turned over, so that it isn't the hash of sentences that are one word each.
-        code = ~((total[start + WORDS] - total[start]) * _powers(INVERSE, n)[start])
-    return row, code.view(np.int64), start - at[last - sizes][row]
+    code, more = _run_hashes(_digests((x.strip().lower() for w in words for x in w), n), start, start + WORDS)
+    # Turned over, so that it isn't the hash of sentences that are one word each.
+    return row, (~code, more), start - at[last - sizes][row]
+
+
+TAG_BITS = 63 - PLACE_BITS
 
 
 def _names() -> tuple[Column, Column]:
-    """What a span row knows of its document: its id, or the text's key where that is null; and a tag of 36 bits, negative for
-    null ids, that tells texts of one id apart (two texts of one id share it once in 2 ** 35)."""
+    """What a span row knows of its document: its id, or the text's key where that is null; and a tag of 28 bits, negative for
+    null ids, that tells texts of one id apart (two texts of one id share it once in 2 ** 27)."""
     key = text_key(F.col("text"))
-    low = key.bitwiseAND(F.lit((1 << 35) - 1))
+    low = key.bitwiseAND(F.lit((1 << TAG_BITS) - 1))
     doc = F.col("doc_id").cast("long")
-    return F.coalesce(doc, key), F.when(doc.isNull(), low - (1 << 35)).otherwise(low)
+    return F.coalesce(doc, key), F.when(doc.isNull(), low - (1 << TAG_BITS)).otherwise(low)
 
 
 def _places(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -142,37 +162,58 @@ def _places(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.where(longer, 2 * end - 1, 2 * start)
 
 
+def _settled(code: np.ndarray, more: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sure): the spans of a batch sorted by hash and rank; sure are those that a span of another place comes before."""
+    order = np.argsort(code, kind="stable")
+    equal = code[order[1:]] == code[order[:-1]]
+    shared = np.flatnonzero(np.append(equal, False) | np.append(False, equal)) if len(order) else order
+    some = order[shared]
+    order[shared] = some[np.lexsort((at[some], doc[some], at[some] < 0, more[some], code[some]))]
+    code, more, doc, at = code[order], more[order], doc[order], at[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (more[1:] != more[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(code)), 0)) if len(code) else np.zeros(0, np.int64)
+    return order, (doc != doc[first]) | (at != at[first])
+
+
 def span_rows(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> DataFrame:
-    """(hash, doc, at): ``at`` is tag * 2 ** 28 + place."""
+    """(hash, more, doc, at, sure): ``at`` is tag * 2 ** PLACE_BITS + place. ``sure`` rows are repeats of a span of their batch; they take no part in any
+    comparison, so their hash is one of their own. Of equal rows of a batch one stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for piece in slices(batch, "text"):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
-                row, code, start, end = spans(texts, least, chars, every)
-                place = _places(row, start, end)
-                if len(place) and int(place.max()) >= WORD_PLACES:
-                    raise ValueError("a text has more than 2 ** 26 sentences")
+                doc, tag = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
+                row, (code, more), start, end = spans(texts, least, chars, every)
+                found.append((code, more, doc[row], (tag[row] << PLACE_BITS) + _places(row, start, end)))
                 if every:
-                    more, codes, start = word_spans(texts, least, chars)
-                    if len(start) and int(start.max()) >= (1 << 28) - WORD_PLACES:
-                        raise ValueError("a text has more than 2 ** 27 words")
-                    row, code, place = np.concatenate([row, more]), np.concatenate([code, codes]), np.concatenate([place, start + WORD_PLACES])
-                tag = piece.column("tag").to_numpy(zero_copy_only=False)[row] if len(row) else place
-                yield pa.RecordBatch.from_arrays([pa.array(code), piece.column("doc").take(pa.array(row)), pa.array((tag << 28) + place)], ["hash", "doc", "at"])
+                    row, (code, more), start = word_spans(texts, least, chars)
+                    found.append((code, more, doc[row], (tag[row] << PLACE_BITS) + start + WORD_PLACES))
+            code, more, doc, at = (np.concatenate(x) for x in zip(*found))
+            order, sure = _settled(code, more, doc, at)
+            code, more, doc, at = code[order], more[order], doc[order], at[order]
+            again = np.zeros(len(code), bool)
+            again[1:] = (code[1:] == code[:-1]) & (more[1:] == more[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+            with np.errstate(over="ignore"):
+                own = (doc * np.int64(-7046029254386353131)) ^ (at * np.int64(-4417276706812531889))
+            code = np.where(sure, own, code)
+            yield pa.RecordBatch.from_arrays([pa.array(x[~again]) for x in (code, more, doc, at, sure)], ["hash", "more", "doc", "at", "sure"])
 
     doc, tag = _names()
-    return docs.select(doc.alias("doc"), tag.alias("tag"), "text").mapInArrow(run, "hash long, doc long, at long")
+    return docs.select(doc.alias("doc"), tag.alias("tag"), "text").mapInArrow(run, "hash long, more int, doc long, at long, sure boolean")
 
 
 def repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> DataFrame:
     """The spans that aren't the first of their kind: (doc, tag, place). One shuffle, by hash.
 
-    Equal rows (same doc_id and text) count as one document, so none of them is a repeat of another.
+    Equal rows (same doc_id and text) count as one document, so none of them is a repeat of another. So do rows of equal texts
+    whose doc_id is null, as nothing tells them apart.
     """
-    w = Window.partitionBy("hash").orderBy(F.col("at") < 0, "doc", "at")
+    w = Window.partitionBy("hash", "more", "sure").orderBy(F.col("at") < 0, "doc", "at")
     first = span_rows(docs, least, chars, every).withColumn("first", F.first(F.struct("doc", "at")).over(w))
-    return first.filter("not (doc = first.doc and at = first.at)").select("doc", F.shiftright("at", 28).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 28) - 1)).alias("place"))
+    return first.filter("sure or not (doc = first.doc and at = first.at)").select("doc", F.shiftright("at", PLACE_BITS).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"))
 
 
 def _without(pieces: list[str], rest: list[str], starts: np.ndarray) -> None:
@@ -216,8 +257,8 @@ def _cutter(least: int, chars: int, every: bool):
 def drop_repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, gone: str | None = None, every: bool = False) -> DataFrame:
     """``docs`` with the repeated sentences cut out of ``text``; rows and other columns stay, whatever their names.
 
-    Null texts stay null, empty ones empty; a text whose sentences are all repeats becomes empty. Texts
-    too short for a span are never cut. ``gone`` names a column to add: the number of sentences removed in whole or in part.
+    Null texts stay null, empty ones empty, and an empty table empty; a text whose sentences are all repeats becomes empty. Texts
+    too short for a span are never cut; very long ones are read whole, each in one task. ``gone`` names a column to add: the number of sentences removed in whole or in part.
     """
     scratch = Scratch(docs.sparkSession, "spans")
     cut = scratch.write(repeated_spans(docs, least, chars, every).groupBy("doc", "tag").agg(F.collect_set("place").alias("__vl_at")), "cut")
