@@ -2,12 +2,16 @@
 
 import subprocess
 import sys
+import time
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vecloom import catalog
 from vecloom.functions import text as T
 from vecloom.functions import vectors as V
 from vecloom.functions.predicates import Filter
@@ -122,7 +126,7 @@ def test_batch_over_many_blocks(spark):
 def test_bm25_order(spark):
     docs = spark.createDataFrame([(1, "cat cat cat dog"), (2, "the dog chased the cat"), (3, "the bird flew over the mat"), (4, ""), (5, None)], "doc_id long, text string")
     assert [r["doc_id"] for r in retrieval.top(retrieval.bm25(docs, ["cat"]), 5).collect()] == [1, 2]
-    assert [r["doc_id"] for r in retrieval.phrase_boost(retrieval.bm25(docs, ["the"]), ["the mat"]).collect()] == [3]
+    assert [r["doc_id"] for r in retrieval.bm25_phrases(docs, ["the"], ["the mat"]).collect()] == [3]
     assert "Exchange hashpartitioning" not in retrieval.bm25(docs, ["cat"])._jdf.queryExecution().toString()
 
 
@@ -181,6 +185,39 @@ def test_sources(spark, tmp_path):
     assert tables.read_sitemap(spark, str(tmp_path / "map.xml")).first()["url"] == "http://a"
 
 
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "atom.xml").write_text('<feed><entry><id>urn:1</id><title>T</title><link href="http://a" rel="alternate"/><summary>S</summary></entry><entry><id>urn:2</id><content>C</content></entry></feed>')
+    assert sorted(tuple(x) for x in tables.read_atom(spark, str(tmp_path / "atom.xml")).collect()) == [("http://a", "T", "S"), ("urn:2", None, "C")]
+    (tmp_path / "index.xml").write_text("<sitemapindex><sitemap><loc> http://a/1.xml </loc></sitemap><sitemap><loc>http://a/2.xml</loc></sitemap></sitemapindex>")
+    assert [r["url"] for r in tables.read_sitemap_index(spark, str(tmp_path / "index.xml")).collect()] == ["http://a/1.xml", "http://a/2.xml"]
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id long, v string")
+    tables.write_jsonl(df, str(tmp_path / "log"))
+    assert sorted(map(tuple, tables.read_jsonl(spark, str(tmp_path / "log"), "id long, v string").collect())) == [(1, "x"), (2, None)]
+    import pyarrow.parquet as pq
+
+    assert pq.read_table(tables.export_arrow(df, str(tmp_path / "export"))).num_rows == 2
+
+
+def test_nearest_rank_by_sorting(spark):
+    """Hot values, few values, no key, and keys with one row."""
+    rng = np.random.default_rng(4)
+    rows = [("a", float(x)) for x in rng.integers(0, 5, 900)] + [("a", float(x)) for x in rng.normal(size=701)] + [("b", 3.0)] * 50 + [("c", 1.5), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    for keys in (["k"], []):
+        got = series.nearest_rank(df, "v", shares, keys).collect()
+        assert len(got) == (3 if keys else 1)
+        for r in got:
+            v = sorted(x for k, x in rows if x is not None and (not keys or k == r["k"]))
+            assert [r[n] for n in shares] == [v[min(int(len(v) * p), len(v) - 1)] for p in shares.values()] and r["n"] == len(v) and r["max"] == v[-1]
+
+
+def test_redaction_at_every_depth(spark):
+    df = spark.sql("select struct('n' as name, array(struct('p' as phone, 1 as x)) as calls, map('email', 'e', 'k', 'v') as more) as r")
+    got = df.select(T.redact_fields(F.col("r"), df.schema["r"].dataType, {"name": "[N]", "phone": "[P]", "email": "[E]"}).alias("r")).first()["r"].asDict(True)
+    assert got == {"name": "[N]", "calls": [{"phone": "[P]", "x": 1}], "more": {"email": "[E]", "k": "v"}}
+
+
 def test_scan_is_pruned(spark, sf_dir):
     """Columns and predicates reach the scan."""
     f = Filter.of("p_size", "gt", 40).column()
@@ -208,13 +245,110 @@ assert set(e.oracle_sql()) <= set(e.queries())
 
 
 def test_product_quantisation_is_exact(spark):
-    """Neighbours that the codes rank far down are found, for every one of several queries."""
+    """Neighbours that the codes rank far down are found, for every query of the set."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 16))
-    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3).localCheckpoint()
+    x = rng.normal(size=(1500, 16))
+    v = tables.cut(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3))
     books = knn.pq_train(v, 4, 4, rounds=3)
-    codes = knn.pq_codes(v, books).localCheckpoint()
+    got = {}
+    for r in knn.pq_search(knn.query_set(v, 100), v, knn.pq_codes(v, books), books, 10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
     x = x.astype(np.float32).astype(np.float64)
-    for q in (0, 7, 1234):
-        want = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:10].tolist()
-        assert [r["vec_id"] for r in knn.pq_search(v, codes, books, q, 10).orderBy("rank").collect()] == want
+    for q in range(0, 1500, 100):
+        want = [j for j in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable").tolist() if j != q][:10]
+        assert [got[q][k] for k in range(1, 11)] == want
+
+
+@pytest.mark.parametrize("dim", [1, 64, 65, 130, 768])
+def test_sign_codes_hold_every_dimension(spark, dim):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(20, dim))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, v array<double>").select("i", V.sign_code(F.col("v")).alias("c"))
+    codes = {r["i"]: r["c"] for r in df.collect()}
+    for i in range(20):
+        bits = [codes[i][d // 64] >> (d % 64) & 1 for d in range(dim)]
+        assert bits == (x[i] > 0).astype(int).tolist() and len(codes[i]) == -(-dim // 64)
+    h = df.alias("a").join(df.alias("b"), F.expr("a.i = 0")).select(F.col("b.i"), V.hamming(F.col("a.c"), F.col("b.c")).alias("h"))
+    assert {r["i"]: r["h"] for r in h.collect()} == {i: int(((x[i] > 0) != (x[0] > 0)).sum()) for i in range(20)}
+
+
+def test_binary_search_reads_every_dimension(spark):
+    """Neighbours that differ from others only beyond the 64th dimension are found."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 128))
+    x[:, :64] = np.abs(x[:, :64])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    bits = ((x[:, None] > 0) != (x > 0)).sum(2)
+    got = {}
+    for r in knn.binary_search(knn.query_set(df, 100), df, 3, 0.25).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 400, 100):
+        inside = [j for j in np.argsort(1 - unit @ unit[q], kind="stable").tolist() if j != q and bits[q, j] <= 32][:3]
+        assert [j for _, j in sorted(got.get(q, []))] == inside
+
+
+def test_hot_cell_is_split(spark):
+    """A key with most rows is several tasks, and every pair of a key meets once."""
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, rng.normal(size=3).tolist(), 0 if i % 10 else i) for i in range(200)], "vec_id long, embedding array<double>, cell long")
+    each = lambda key, lid, a, rid, b: pa.table({"l": np.repeat(lid, len(rid)), "r": np.tile(rid, len(lid))})
+    got = Counter((r["l"], r["r"]) for r in knn.meet(v, v, each, "l long, r long", "cell", 16).collect())
+    cell = {i: 0 if i % 10 else i for i in range(200)}
+    assert got == Counter((a, b) for a in range(200) for b in range(200) if cell[a] == cell[b])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name,pushed",
+    [
+        ("filter_builder_ops", ["GreaterThanOrEqual(p_size,10)", "LessThanOrEqual(p_size,30)"]),
+        ("filter_from_dict", ["GreaterThanOrEqual(c_acctbal,1000.0)", "LessThan(c_acctbal,5000.0)", "Or(IsNull(c_mktsegment),Not(EqualTo(c_mktsegment,BUILDING)))", "In(c_nationkey"]),
+        ("filter_regex", ["IsNotNull(p_brand)"]),
+        ("dsl_and_or_not", ["LessThan(p_size,20)", "GreaterThanOrEqual(p_retailprice,1000.0)"]),
+        ("row_level_security", ["Or(IsNull(o_orderstatus),Not(EqualTo(o_orderstatus,F)))"]),
+    ],
+)
+def test_predicates_reach_the_scan(spark, sf_dir, name, pushed):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = plan_of(catalog.queries()[name](spark, sf_dir))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = " ".join(x for x in plan.splitlines() if "PushedFilters" in x)
+    assert all(p in scans for p in pushed), scans
+
+
+def test_probe_reads_only_its_cells(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, (np.eye(4)[i % 4] * 9 + rng.normal(size=4) * 0.1).tolist(), i % 4) for i in range(80)], "vec_id long, embedding array<double>, label long")
+    knn.write_index(v.select("vec_id", "embedding"), knn.centroids(v, "label"), str(tmp_path / "index"))
+    found = knn.ivf_one([9.0, 0.0, 0.0, 0.0], knn.read_index(spark, str(tmp_path / "index")), 1, 5)
+    assert all(r["vec_id"] % 4 == 0 for r in found.collect()) and found.count() == 5
+    assert "PartitionFilters: [isnotnull(cell" in plan_of(found) or "cast(cell" in plan_of(found).split("PartitionFilters", 1)[1].split("]")[0]
+
+
+def test_sentence_chunks_are_linear(spark):
+    """A text of four times as many sentences takes nowhere near sixteen times as long."""
+
+    def took(n):
+        df = spark.createDataFrame([(" ".join(f"Sentence number {i} is here." for i in range(n)),)], "t string").select(F.size(T.sentence_chunks(F.col("t"))).alias("n"))
+        began = time.time()
+        assert df.first()["n"] == -(-n // 4)
+        return time.time() - began
+
+    took(1000)
+    assert took(16_000) < 8 * max(took(4_000), 0.25)
+
+
+def test_planner_acts(spark, sf_dir):
+    """A predicate that hardly any row passes: the answer is full while rows last, whatever the strategy."""
+    from vecloom.plans import text_queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    passing = docs.filter("lang = 'fr' and source = 'src3'").count()
+    got = text_queries.planned_search(spark, sf_dir, 'lang = "fr" AND source = "src3" AND semantic_match("q", 10)', {"lang": {"distinct": 1}, "source": {"distinct": 1}})
+    rows = got.collect()
+    assert {r["strategy"] for r in rows} == {"filter_first"} and all(r["lang"] == "fr" and r["source"] == "src3" for r in rows)
+    assert len(rows) == min(passing, 10)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vecloom.plans import more_queries, ops_queries, stream_queries, text_queries, vector_queries
+from vecloom.plans import extra_queries, more_queries, ops_queries, stream_queries, text_queries, vector_queries
 
-_REGISTRIES = [vector_queries.REG, text_queries.REG, ops_queries.REG, stream_queries.REG, more_queries.REG]
+_REGISTRIES = [vector_queries.REG, text_queries.REG, ops_queries.REG, stream_queries.REG, more_queries.REG, extra_queries.REG]
 FLAGSHIP = "rrf_hybrid"
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 STOP = "a an and are as at be by for from has he in is it its of on that the to was were will with this but".split()
 #: Applied in this order; a pattern may consume what a later one would have matched.
@@ -24,6 +27,22 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(runs, lambda w: w.rlike("^[a-zA-Z0-9_]+$")), F.lower)
 
 
+#: Before and after a token no letter, digit or underscore of any script may stand.
+ALONE = r"(?<![\p{L}\p{N}_])%s(?![\p{L}\p{N}_])"
+
+
+def token_count(text: Column) -> Column:
+    """How many ``tokens`` the text has, without making them."""
+    return F.regexp_count(text, F.lit(ALONE % "[a-zA-Z0-9_]++")).cast("long")
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How many of the text's tokens are ``term``, which consists of lower-case ASCII letters, digits and underscores."""
+    if not re.fullmatch("[a-z0-9_]+", term):
+        return F.lit(0).cast("long")
+    return F.regexp_count(text, F.lit(ALONE % f"(?i:{term})")).cast("long")
+
+
 def substring_count(text: Column, part: Column) -> Column:
     """Occurrences, not overlapping, upper and lower case alike."""
     low = F.lower(text)
@@ -39,10 +58,13 @@ def sentences(text: Column) -> Column:
 
 
 def sentence_chunks(text: Column, most: int = 5, overlap: int = 1) -> Column:
-    """Windows of ``most`` sentences, each beginning ``most - overlap`` after the last."""
-    found = sentences(text)
-    starts = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found), F.lit(most - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(found, i, F.lit(most)), " "))
+    """Windows of ``most`` sentences, each beginning ``most - overlap`` after the last. The text is split once: its sentences are bound as the only element of an array."""
+
+    def windows(found: Column) -> Column:
+        starts = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found), F.lit(most - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(found, i, F.lit(most)), " "))
+
+    return F.get(F.transform(F.array(sentences(text)), windows), F.lit(0))
 
 
 def redact(text: Column) -> Column:
@@ -51,6 +73,23 @@ def redact(text: Column) -> Column:
     return text
 
 
+def redact_fields(record: Column, kind: DataType, labels: dict[str, str]) -> Column:
+    """A record in which fields of the given names, at any depth, hold their label; its schema stays, but that they are strings."""
+    if isinstance(kind, StructType):
+        return F.struct(*[(F.when(record[f.name].isNotNull(), F.lit(labels[f.name])) if f.name in labels else redact_fields(record[f.name], f.dataType, labels)).alias(f.name) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return F.transform(record, lambda x: redact_fields(x, kind.elementType, labels))
+    if isinstance(kind, MapType):
+        masked = lambda k, v: F.coalesce(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[k], v) if isinstance(kind.valueType, StringType) else redact_fields(v, kind.valueType, labels)
+        return F.transform_values(record, masked)
+    return record
+
+
+def in_context(summary: Column, chunk: Column) -> Column:
+    """A chunk behind a summary of its document; without one the chunk itself."""
+    return F.when(F.coalesce(summary, F.lit("")) == "", chunk).otherwise(F.concat(F.lit("Summary: "), summary, F.lit("\n\n"), chunk))
+
+
 def words(text: Column) -> Column:
     """White-space tokens."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -82,4 +121,4 @@ def intent(query: Column) -> Column:
 
 def highlight(text: Column, terms: list[str]) -> Column:
     """Whole-word matches of the terms, in any case, between two pairs of stars."""
-    return F.regexp_replace(text, r"(?i)\b(" + "|".join(terms) + r")\b", F.lit("**$1**"))
+    return F.regexp_replace(text, r"(?i)\b(" + "|".join(re.escape(t) for t in terms) + r")\b", F.lit("**$1**"))

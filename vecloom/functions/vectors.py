@@ -54,12 +54,15 @@ def maxsim(query: Column, document: Column) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    """Bits that differ between two codes of ``sign_code``."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def sign_code(a: Column) -> Column:
-    """The signs of the first 64 dimensions as a 64-bit number: bit i is set where dimension i is positive."""
-    return F.aggregate(F.sequence(F.lit(0), F.least(F.size(a), F.lit(64)) - 1), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.when(F.get(a, i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    """The signs of all dimensions as 64-bit numbers: bit i % 64 of number i // 64 is set where dimension i is positive."""
+    bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    word = lambda i: F.aggregate(F.transform(F.slice(a, i, F.lit(64)), bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(1), F.size(a), F.lit(64)), word)).otherwise(F.array().cast("array<bigint>"))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -73,3 +73,33 @@ def growth(edges: DataFrame, times: DataFrame, split) -> DataFrame:
     late = F.greatest("ta", "tb") >= F.lit(split)
     counts = timed.agg(F.count_if(~late).alias("older"), F.count_if(late).alias("recent"))
     return counts.withColumn("growth_percent", F.round(F.col("recent") / F.greatest(F.col("older"), F.lit(1)) * 100, 6))
+
+
+def trend(edges: DataFrame, times: DataFrame, since) -> DataFrame:
+    """(nodes, recent_nodes, edges, recent_edges, growth_percent, bursty) of a window that begins at ``since``; times(node, ts)."""
+    late = F.col("ts") >= F.lit(since)
+    nodes = times.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(late).alias("recent_nodes"))
+    timed = edges.join(times.select(F.col("node").alias("a"), F.col("ts").alias("ta")), "a").join(times.select(F.col("node").alias("b"), F.col("ts").alias("tb")), "b")
+    counts = timed.select(F.greatest("ta", "tb").alias("ts")).agg(F.count(F.lit(1)).alias("edges"), F.count_if(late).alias("recent_edges"))
+    growth = F.col("recent_edges") / F.greatest(F.col("edges") - F.col("recent_edges"), F.lit(1)) * 100
+    return nodes.crossJoin(F.broadcast(counts)).withColumn("growth_percent", F.round(growth, 2)).withColumn("bursty", (growth > 50) & (F.col("recent_nodes") > 10))
+
+
+def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(node) of all nodes that can be reached from ``start`` along links(src, dst), breadth first; a round is written and read again."""
+    seen = front = cut(start.select("node").distinct())
+    while True:
+        front = cut(front.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front))
+
+
+def propagated(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(node, d, h): vectors summed over each node's neighbours and itself, every one divided by the root of both degrees (the node itself counted)."""
+    links = both_ways(edges).select("src", "dst").unionByName(vectors.select(F.col("vec_id").alias("src"), F.col("vec_id").alias("dst")))
+    links = cut(links)
+    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    x = vectors.select(F.col("vec_id").alias("dst"), "embedding").join(degree.withColumnRenamed("src", "dst"), "dst").select("dst", F.transform("embedding", lambda v: v.cast("double") / F.sqrt("n")).alias("x"))
+    moved = links.join(x, "dst").select("src", F.posexplode("x").alias("d", "x")).groupBy("src", "d").agg(F.sum("x").alias("x"))
+    return moved.join(degree, "src").select(F.col("src").alias("node"), F.col("d").cast("long").alias("d"), F.round(F.col("x") / F.sqrt("n"), 6).alias("h"))

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
@@ -38,47 +40,168 @@ def within(vectors: DataFrame, query: DataFrame, most: float, metric: str = "cos
     return with_query(vectors, query).withColumn("distance", V.distance(F.col("embedding"), F.col("q"), metric)).filter(F.col("distance") <= most).drop("q")
 
 
-BLOCK_ROWS = 4096
+#: The most rows of a side that one task compares.
+BLOCK_ROWS = 2048
 
 
-def batch(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
-    """(query_id, vec_id, distance, rank): the k nearest of every query, itself left out; exact.
+def meet(left: DataFrame, right: DataFrame, each, schema: str, key: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of ``each(key, left ids, left vectors, right ids, right vectors)``, called for blocks of both tables with the same key, so
+    that every row of one side meets every row of the other with its key once. Tables are (vec_id, embedding) and the key, if there is one.
 
-    Both sides are cut into blocks by a hash of the id; every pair of blocks is one matrix product in Arrow batches, of which only
-    k rows a query go on. Nothing is broadcast: a task holds two blocks, whatever the size of the tables.
+    A key's rows are split by a hash of the id into blocks of about ``block_rows``, and each pair of blocks is a task: a key with very
+    many rows is many tasks. What is broadcast is one row a key (cells of an index, buckets of a hash, or one). Vectors reach the function as matrices
+    from the flat arrays of an Arrow table.
     """
-    spark = vectors.sparkSession
-    n = max(1, -(-(rows if rows is not None else vectors.count()) // block_rows))
-    packed = lambda df, name: (
-        df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name)).withColumnRenamed("block", f"{name}_block")
-    )
-    grid = spark.range(n).select(F.col("id").alias("l_block")).crossJoin(spark.range(n).select(F.col("id").alias("r_block")))
-    pairs = grid.join(packed(queries, "l"), "l_block").join(packed(vectors, "r"), "r_block")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for left, right in zip(frame["l"], frame["r"]):
-                lid, rid = (np.array([x["vec_id"] for x in side], np.int64) for side in (left, right))
-                a, b = (np.array([x["embedding"] for x in side], np.float64) for side in (left, right))
-                if metric == "euclidean":
-                    d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-                else:
-                    d = -(a @ b.T)
-                    if metric == "cosine":
-                        size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
-                        d = 1 + np.divide(d, size, out=np.zeros_like(d), where=size > 0)
-                d = np.where(lid[:, None] == rid, np.inf, d)
-                kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                r, c = np.nonzero(d <= kth[:, None] + 1e-9)  # with all ties, which are settled by id later
-                fine = np.isfinite(d[r, c])
-                r, c = r[fine], c[fine]
-                yield pd.DataFrame({"query_id": lid[r], "vec_id": rid[c], "distance": d[r, c]})
-
-    near = pairs.select("l", "r").repartition(min(n * n, 10_000)).mapInPandas(run, "query_id long, vec_id long, distance double")
-    near = near.withColumn("distance", F.round("distance", 9))
+    one = F.lit(0).cast("long") if key is None else F.col(key).cast("long")
+    sides = [side.select(one.alias("key"), F.col("vec_id").cast("long").alias("vec_id"), "embedding") for side in (left, right)]
+    parts = lambda n: F.ceil(F.col(n) / block_rows).cast("long")
+    counts = [side.groupBy("key").agg(F.count(F.lit(1)).alias(n)) for side, n in zip(sides, "ab")]
+    split = counts[0].join(counts[1], "key").select("key", parts("a").alias("a"), parts("b").alias("b"))
+    placed = []
+    for side, mine, others, name, rest in ((sides[0], "a", "b", "l", "r"), (sides[1], "b", "a", "r", "l")):
+        again = F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))
+        rows = side.join(F.broadcast(split), "key").select("key", F.pmod(F.xxhash64("vec_id"), F.col(mine)).alias(mine), again.alias(others), "vec_id", F.col("embedding").alias(name))
+        placed.append(rows.withColumn(rest, F.lit(None).cast((left if rest == "l" else right).schema["embedding"].dataType)).select("key", "a", "b", "vec_id", "l", "r"))
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        found = []
+        for name in "lr":
+            rows = table.filter(pc.is_valid(table.column(name)))
+            flat = rows.column(name).combine_chunks()
+            found += [rows.column("vec_id").to_numpy(), flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))]
+        return each(group[0].as_py(), *found)
+
+    return placed[0].unionByName(placed[1]).groupBy("key", "a", "b").applyInArrow(run, schema)
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str = "cosine") -> np.ndarray:
+    """Between all rows of two matrices, in double precision."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    if metric == "euclidean":
+        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+    d = -(a @ b.T)
+    if metric == "cosine":
+        size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+        d = 1 + np.divide(d, size, out=np.zeros_like(d), where=size > 0)
+    return d
+
+
+NEAR = "query_id long, vec_id long, distance double"
+
+
+def nearest_of(lid: np.ndarray, rid: np.ndarray, d: np.ndarray, k: int) -> pa.Table:
+    """The k least finite values of every row of ``d`` with all ties, which are settled by id later; a row doesn't meet its own id."""
+    if not d.size:
+        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+    d = np.where(lid[:, None] == rid, np.inf, d)
+    at = min(k, d.shape[1]) - 1
+    r, c = np.nonzero(d <= np.partition(d, at, axis=1)[:, at, None] + 1e-9)
+    fine = np.isfinite(d[r, c])
+    r, c = r[fine], c[fine]
+    return pa.table({"query_id": lid[r], "vec_id": rid[c], "distance": d[r, c]})
+
+
+def best_of_each(near: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query among rows that may repeat."""
+    near = near.groupBy("query_id", "vec_id").agg(F.round(F.min("distance"), 9).alias("distance"))
     return ranked(near, ["distance", "vec_id"], within=["query_id"]).filter(F.col("rank") <= k)
 
 
+def batch(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block_rows: int = BLOCK_ROWS, key: str | None = None) -> DataFrame:
+    """(query_id, vec_id, distance, rank): the k nearest of every query, itself left out; exact among the rows with the query's keys.
+
+    Every pair of blocks is one matrix product, of which only k rows a query go on.
+    """
+
+    def each(_: int, lid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray) -> pa.Table:
+        return nearest_of(lid, rid, distances(a, b, metric) if len(lid) and len(rid) else np.zeros((0, 0)), k)
+
+    near = meet(queries, vectors, each, NEAR, key, block_rows)
+    if key is not None:  # a pair may share several keys
+        return best_of_each(near, k)
+    return ranked(near.withColumn("distance", F.round("distance", 9)), ["distance", "vec_id"], within=["query_id"]).filter(F.col("rank") <= k)
+
+
+def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(query_id, vec_id, similarity) of all pairs with a cosine similarity of at least ``least``, ids apart."""
+
+    def each(_: int, lid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray) -> pa.Table:
+        s = 1 - distances(a, b) if len(lid) and len(rid) else np.zeros((0, 0))
+        r, c = np.nonzero((s >= least) & (lid[:, None] != rid)) if s.size else (np.zeros(0, np.int64),) * 2
+        return pa.table({"query_id": pa.array(lid[r], pa.int64()), "vec_id": pa.array(rid[c], pa.int64()), "similarity": pa.array(s[r, c], pa.float64())})
+
+    return meet(left, right, each, "query_id long, vec_id long, similarity double")
+
+
+def distance_counts(left: DataFrame, right: DataFrame, per_unit: int) -> DataFrame:
+    """(query_id, bin, n): how many other vectors lie in each bin of Euclidean distance, ``per_unit`` bins a unit. A block sends its counts only."""
+
+    def each(_: int, lid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray) -> pa.Table:
+        if not (len(lid) and len(rid)):
+            return pa.table({"query_id": pa.array([], pa.int64()), "bin": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        r, c = np.nonzero(lid[:, None] != rid)
+        pair, n = np.unique(np.stack([r, np.floor(distances(a, b, "euclidean")[r, c] * per_unit).astype(np.int64)]), axis=1, return_counts=True)
+        return pa.table({"query_id": lid[pair[0]], "bin": pair[1], "n": n})
+
+    return meet(left, right, each, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+
+
+def maxsim(queries: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+    """(query_id, group, m): for each query its largest product with a vector of each group. A block sends one row for a query and a group."""
+    # The group goes with the vector, as one more number.
+    grouped = vectors.select("vec_id", F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array(F.col(group).cast("double"))).alias("embedding"))
+
+    def each(_: int, lid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray) -> pa.Table:
+        kinds = np.unique(b[:, -1]) if len(rid) and len(lid) else np.zeros(0)
+        product = a.astype(np.float64) @ b[:, :-1].T if len(kinds) else np.zeros((len(lid), 0))
+        best = [product[:, b[:, -1] == x].max(axis=1) for x in kinds]
+        return pa.table({"query_id": pa.array(np.tile(lid, len(kinds)), pa.int64()), group: pa.array(np.repeat(kinds, len(lid)).astype(np.int64)), "m": pa.array(np.concatenate([*best, np.zeros(0)]), pa.float64())})
+
+    return meet(queries, grouped, each, f"query_id long, `{group}` long, m double").groupBy("query_id", group).agg(F.max("m").alias("m"))
+
+
+def moments(vectors: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of vectors, sums, sums of products): a task sends ``dim`` * (``dim`` + 1) numbers, whatever its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, square = 0, np.zeros(dim), np.zeros((dim, dim))
+        for batch_ in batches:
+            m = batch_.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            n, total, square = n + len(m), total + m.sum(axis=0), square + m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 + dim + dim * dim)), pa.array(np.concatenate([[n], total, square.ravel()]))], ["i", "x"])
+
+    found = vectors.filter(F.size("embedding") == dim).select("embedding").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    x = np.zeros(1 + dim + dim * dim)
+    for r in found.collect():
+        x[r["i"]] = r["x"]
+    return int(x[0]), x[1 : 1 + dim], x[1 + dim :].reshape(dim, dim)
+
+
+def query_set(vectors: DataFrame, every: int = 20) -> DataFrame:
+    """The stated queries of a search: every row whose id is divisible by ``every``."""
+    return vectors.filter(F.col("vec_id") % every == 0)
+
+
+def signs(a: np.ndarray) -> np.ndarray:
+    return np.where(a > 0, 1.0, -1.0).astype(np.float32)
+
+
+def binary_search(queries: DataFrame, vectors: DataFrame, k: int, share: float = 0.47) -> DataFrame:
+    """The k nearest by exact cosine distance among the rows whose sign codes differ in at most ``share`` of the dimensions, with the number of such bits.
+
+    No cap: every row within that radius is ranked. Recall and the part of rows within the radius are measured by the query that compares it.
+    """
+
+    def each(_: int, lid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray) -> pa.Table:
+        if not (len(lid) and len(rid)):
+            return nearest_of(lid, rid, np.zeros((0, 0)), k)
+        bits = (a.shape[1] - signs(a) @ signs(b).T) / 2
+        return nearest_of(lid, rid, np.where(bits <= np.floor(share * a.shape[1]), distances(a, b), np.inf), k)
+
+    return best_of_each(meet(queries, vectors, each, NEAR), k)
+
+
 def hash_partition(key: Column, n: int) -> Column:
     """md5(id) mod n by its low 32 bits; the same as the 128-bit modulus where n divides 2 ** 32."""
     return F.conv(F.right(F.md5(key.cast("string")), F.lit(8)), 16, 10).cast("long") % n
@@ -137,12 +260,10 @@ def lsh_buckets(vectors: DataFrame, tables: int, bits: int, dim: int) -> DataFra
     return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, table long, bucket long")
 
 
-def lsh_search(vectors: DataFrame, query_id: int, k: int, tables: int, bits: int, dim: int) -> DataFrame:
-    """Rows sharing a bucket with the query in any table, ranked by exact cosine distance."""
-    buckets = lsh_buckets(vectors, tables, bits, dim)
-    own = lsh_buckets(vectors.filter(F.col("vec_id") == query_id), tables, bits, dim).select("table", "bucket")
-    found = buckets.join(F.broadcast(own), ["table", "bucket"]).select("vec_id").distinct()
-    return exact(vectors.join(found, "vec_id", "left_semi"), query_vector(vectors, query_id), k)
+def lsh_search(queries: DataFrame, vectors: DataFrame, k: int, tables: int, bits: int, dim: int) -> DataFrame:
+    """Of each query the nearest by exact cosine distance among the rows that share a bucket with it in any table. Only rows of one bucket meet."""
+    keyed = lambda df: df.join(lsh_buckets(df, tables, bits, dim), "vec_id").select("vec_id", "embedding", (F.col("table") * (1 << bits) + F.col("bucket")).alias("key"))
+    return batch(keyed(queries), keyed(vectors), k, key="key")
 
 
 def centroids(vectors: DataFrame, label: str) -> DataFrame:
@@ -158,10 +279,38 @@ def assigned(vectors: DataFrame, cells: DataFrame) -> DataFrame:
     return vectors.crossJoin(F.broadcast(table)).withColumn("__n", near).select(*vectors.columns, F.col("__n.cell").alias("cell"), F.col("__n.d2").alias("d2"))
 
 
-def ivf(vectors: DataFrame, cells: DataFrame, query: DataFrame, probes: int, k: int, metric: str = "euclidean") -> DataFrame:
-    """Search in the ``probes`` cells nearest to the query, exact distances within."""
-    probe = cells.crossJoin(F.broadcast(query)).withColumn("__d", F.round(V.euclidean(F.col("centroid"), F.col("q")), 9)).orderBy("__d", "cell").limit(probes).select("cell")
-    return exact(assigned(vectors, cells).join(F.broadcast(probe), "cell", "left_semi"), query, k, metric)
+def write_index(vectors: DataFrame, cells: DataFrame, path: str) -> None:
+    """An index on disk: the cells' centroids, and every vector in the folder of its cell, so that a search reads only the cells it probes."""
+    cells.write.mode("overwrite").parquet(f"{path}/centroids")
+    written = vectors.sparkSession.read.parquet(f"{path}/centroids")
+    assigned(vectors, written).repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(centroids, vectors) of an index on disk."""
+    return spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/vectors").withColumn("cell", F.col("cell").cast("long"))
+
+
+def probed(queries: DataFrame, cells: DataFrame, probes: int) -> DataFrame:
+    """``queries`` once for each of the ``probes`` nearest cells. The table of cells, as many as the index has, is broadcast."""
+    table = cells.agg(F.sort_array(F.collect_list(F.struct("cell", "centroid"))).alias("cells"))
+    near = F.slice(F.array_sort(F.transform("cells", lambda c: F.struct(F.round(V.euclidean(F.col("embedding"), c["centroid"]), 9).alias("d"), c["cell"].alias("cell")))), 1, probes)
+    return queries.crossJoin(F.broadcast(table)).withColumn("__c", F.explode(near)).select(*queries.columns, F.col("__c.cell").alias("cell"))
+
+
+def ivf(queries: DataFrame, index: tuple[DataFrame, DataFrame], probes: int, k: int, metric: str = "euclidean") -> DataFrame:
+    """Search of the queries in the ``probes`` cells nearest to each, exact distances within."""
+    cells, vectors = index
+    return batch(probed(queries.select("vec_id", "embedding"), cells, probes), vectors.select("vec_id", "embedding", "cell"), k, metric, key="cell")
+
+
+def ivf_one(query: list[float], index: tuple[DataFrame, DataFrame], probes: int, k: int, metric: str = "euclidean") -> DataFrame:
+    """Search of one vector: the probed cells are a filter on the partitions, so no other cell is read."""
+    cells, vectors = index
+    q = F.array(*[F.lit(float(x)) for x in query])
+    near = [r["cell"] for r in cells.withColumn("d", F.round(V.euclidean(F.col("centroid"), q), 9)).orderBy("d", "cell").limit(probes).collect()]
+    rows = vectors.filter(F.col("cell").isin(near)).withColumn("distance", V.distance(F.col("embedding"), q, metric))
+    return ranked(rows.orderBy("distance", "vec_id").limit(k), ["distance", "vec_id"])
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 7, rounds: int = 20) -> DataFrame:
@@ -219,19 +368,82 @@ def pq_codes(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, codes array<short>, error double")
 
 
-def pq_candidates(vectors: DataFrame, codes: DataFrame, books: np.ndarray, query_id: int, k: int) -> DataFrame:
-    """(vec_id) of the rows that may be among the k nearest: the asymmetric distance, by table lookup over the codes, less the row's quantisation
-    error is at most the largest exact distance of the k rows that the codes rank first. As many as that may be."""
-    q = np.array(vectors.filter(F.col("vec_id") == query_id).first()["embedding"], np.float64)
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in ((b - p) ** 2).sum(1)]) for b, p in zip(books, np.split(q, len(books)))])
-    d2 = F.aggregate(F.sequence(F.lit(0), F.lit(len(books) - 1)), F.lit(0.0), lambda s, i: s + F.get(F.get(F.col("t"), i), F.get(F.col("codes"), i).cast("int")))
-    coded = codes.withColumn("t", table).withColumn("adc", F.sqrt(d2)).drop("t")
-    best = coded.orderBy("adc", "vec_id").limit(k).select("vec_id")
-    most = exact(vectors.join(F.broadcast(best), "vec_id", "left_semi"), query_vector(vectors, query_id), k, "euclidean").agg(F.max("distance").alias("most"))
-    return coded.crossJoin(F.broadcast(most)).filter(F.col("adc") - F.col("error") <= F.col("most") + 1e-6).select("vec_id")
+def decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that the codes stand for."""
+    return books[np.arange(len(books)), codes].reshape(len(codes), -1)
+
 
+def pq_search(queries: DataFrame, vectors: DataFrame, codes: DataFrame, books: np.ndarray, k: int) -> DataFrame:
+    """The exact k nearest of each query by Euclidean distance; the query itself is left out.
+
+    Distances to what the codes stand for, less and plus the rows' quantisation errors, are bounds. A row whose lower bound exceeds the
+    k-th upper bound of its query is ruled out; all others, however many, are ranked by exact distance.
+    """
+    rows = codes.select("vec_id", F.concat(F.transform("codes", lambda c: c.cast("double")), F.array("error")).alias("embedding"))
 
-def pq_search(vectors: DataFrame, codes: DataFrame, books: np.ndarray, query_id: int, k: int) -> DataFrame:
-    """All candidates of the codes ranked again by exact distance: the exact k nearest, ties by vec_id."""
-    found = pq_candidates(vectors, codes, books, query_id, k)
-    return exact(vectors.join(found, "vec_id", "left_semi"), query_vector(vectors, query_id), k, "euclidean")
+    def bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d, error = distances(a, decoded(b[:, :-1].astype(np.int64), books), "euclidean"), b[:, -1]
+        return d - error - 1e-9, d + error + 1e-9
+
+    def upper(_: int, lid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray) -> pa.Table:
+        return nearest_of(lid, rid, bounds(a, b)[1] if len(lid) and len(rid) else np.zeros((0, 0)), k)
+
+    most = ranked(meet(queries, rows, upper, NEAR), ["distance"], within=["query_id"]).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("distance").alias("most"))
+    # The bound goes with the query, as one more number.
+    bounded = queries.join(most, "vec_id", "left").select("vec_id", F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array(F.coalesce("most", F.lit(float("inf"))))).alias("embedding"))
+
+    def left(_: int, lid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray) -> pa.Table:
+        if not (len(lid) and len(rid)):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64())})
+        r, c = np.nonzero((bounds(a[:, :-1], b)[0] <= a[:, -1:]) & (lid[:, None] != rid))
+        return pa.table({"query_id": lid[r], "vec_id": rid[c]})
+
+    return reranked(meet(bounded, rows, left, "query_id long, vec_id long"), queries, vectors, k)
+
+
+def reranked(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """The k nearest of each query among its candidates(query_id, vec_id), by exact distance."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = candidates.join(q, "query_id").join(vectors.select("vec_id", "embedding"), "vec_id")
+    return best_of_each(pairs.select("query_id", "vec_id", V.distance(F.col("embedding"), F.col("q"), metric).alias("distance")), k)
+
+
+def residuals(vectors: DataFrame, cells: DataFrame) -> DataFrame:
+    """(vec_id, cell, embedding): the vectors less their cell's centroid."""
+    near = assigned(vectors.select("vec_id", "embedding"), cells).join(F.broadcast(cells), "cell")
+    return near.select("vec_id", "cell", F.zip_with("embedding", "centroid", lambda x, c: x.cast("double") - c).alias("embedding"))
+
+
+def ivf_pq_write(vectors: DataFrame, cells: DataFrame, subspaces: int, codewords: int, path: str) -> np.ndarray:
+    """An index of residual codes on disk, in a folder for each cell; returns the codebooks, which are trained on all rows."""
+    cells.write.mode("overwrite").parquet(f"{path}/centroids")
+    rest = residuals(vectors, vectors.sparkSession.read.parquet(f"{path}/centroids"))
+    rest.write.mode("overwrite").parquet(f"{path}/residuals")
+    rest = vectors.sparkSession.read.parquet(f"{path}/residuals")
+    books = pq_train(rest.select("vec_id", "embedding"), subspaces, codewords)
+    pq_codes(rest.select("vec_id", "embedding"), books).join(rest.select("vec_id", "cell"), "vec_id").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/codes")
+    return books
+
+
+def ivf_pq_candidates(queries: DataFrame, path: str, books: np.ndarray, probes: int, k: int, widen: float) -> DataFrame:
+    """(query_id, vec_id) of the rows of the probed cells whose estimated squared distance is at most 1 + ``widen`` times the query's k-th.
+
+    The estimate is the squared distance to what centroid and residual code stand for plus the squared quantisation error. No cap on their number.
+    """
+    spark = queries.sparkSession
+    cells = spark.read.parquet(f"{path}/centroids")
+    centers = {r["cell"]: np.array(r["centroid"]) for r in cells.collect()}  # as many as the index has cells
+    codes = spark.read.parquet(f"{path}/codes").select("vec_id", F.col("cell").cast("long").alias("cell"), F.concat(F.transform("codes", lambda c: c.cast("double")), F.array("error")).alias("embedding"))
+
+    def each(cell: int, lid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray) -> pa.Table:
+        if not (len(lid) and len(rid)):
+            return nearest_of(lid, rid, np.zeros((0, 0)), k)
+        d = distances(a - centers[cell], decoded(b[:, :-1].astype(np.int64), books), "euclidean") ** 2 + b[:, -1] ** 2
+        d = np.where(lid[:, None] == rid, np.inf, d)
+        at = min(k, d.shape[1]) - 1
+        r, c = np.nonzero(d <= np.partition(d, at, axis=1)[:, at, None] * (1 + widen))
+        return pa.table({"query_id": lid[r], "vec_id": rid[c], "distance": d[r, c]})
+
+    found = meet(probed(queries.select("vec_id", "embedding"), cells, probes), codes, each, NEAR, key="cell")
+    kth = F.max(F.when(F.col("rank") <= k, F.col("distance"))).over(Window.partitionBy("query_id"))
+    return ranked(found, ["distance", "vec_id"], within=["query_id"]).withColumn("most", kth).filter(F.col("distance") <= F.col("most") * (1 + widen)).select("query_id", "vec_id")

@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import text as T
 from vecloom.operators.knn import ranked
+from vecloom.sources.tables import cut
 
 
-def term_rows(docs: DataFrame, terms: list[str], substrings: bool = False) -> DataFrame:
-    """(doc_id, text, dl, tf): the length in tokens and the count of each query term, row by row; documents without tokens are left out."""
-    tokens = docs.select("doc_id", "text", T.tokens(F.col("text")).alias("t"))
-    count = (lambda w: T.substring_count(F.col("text"), F.lit(w))) if substrings else (lambda w: F.size(F.filter("t", lambda x: x == w)))
-    return tokens.filter(F.size("t") > 0).select("doc_id", "text", F.size("t").alias("dl"), F.size(F.array_distinct("t")).alias("distinct_terms"), *[count(w).alias(f"tf{i}") for i, w in enumerate(terms)], *[F.array_contains("t", w).alias(f"in{i}") for i, w in enumerate(terms)])
+def bm25(docs: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75, substrings: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, score) of documents with a positive score, and the ``extra`` columns of the text.
 
-
-def bm25(docs: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75, substrings: bool = False) -> DataFrame:
-    """(doc_id, text, score) of documents with a positive score.
-
-    Term counts are row expressions and the corpus statistics one aggregate row, so no token is ever
-    shuffled. ``substrings`` counts occurrences inside longer words as well.
+    One pass over the texts counts tokens and query terms, in expressions that make no arrays, and writes the counts, a few numbers a
+    document, to the shared folder; corpus statistics and scores are read off that. ``substrings`` counts occurrences inside longer words as well.
     """
-    rows = term_rows(docs, terms, substrings)
-    statistics = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"in{i}")).alias(f"df{i}") for i in range(len(terms))])
+    text = F.col("text")
+    count = (lambda w: T.substring_count(text, F.lit(w))) if substrings else (lambda w: T.term_count(text, w))
+    narrow = docs.select("doc_id", T.token_count(text).alias("dl"), *[count(w).alias(f"tf{i}") for i, w in enumerate(terms)], *([(T.term_count(text, w) > 0).alias(f"in{i}") for i, w in enumerate(terms)] if substrings else []), *[c.alias(n) for n, c in (extra or {}).items()])
+    rows = cut(narrow.filter("dl > 0"), "bm25")
+    inside = [F.col(f"in{i}") if substrings else F.col(f"tf{i}") > 0 for i in range(len(terms))]
+    statistics = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(c).alias(f"df{i}") for i, c in enumerate(inside)])
     weight = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         weight = weight + F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rows.crossJoin(F.broadcast(statistics)).select("doc_id", "text", weight.alias("score")).filter("score > 0")
+    some = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
+    return rows.filter(some).crossJoin(F.broadcast(statistics)).select("doc_id", weight.alias("score"), *(extra or {})).filter("score > 0")
 
 
 def top(df: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:
@@ -39,25 +42,43 @@ def top(df: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> Dat
     return ranked(rows, [F.desc(score), key])
 
 
-def phrase_boost(scored: DataFrame, phrases: list[str], boost: float = 0.5) -> DataFrame:
-    """Keeps texts that hold every phrase; each occurrence adds ``boost``."""
-    low = F.lower("text")
-    holds = reduce(lambda a, c: a & c, [F.contains(low, F.lit(p.lower())) for p in phrases])
-    more = reduce(lambda a, c: a + c, [T.substring_count(F.col("text"), F.lit(p.lower())) for p in phrases])
-    return scored.filter(holds).withColumn("score", F.col("score") + boost * more)
+def bm25_phrases(docs: DataFrame, terms: list[str], phrases: list[str], boost: float = 0.5) -> DataFrame:
+    """(doc_id, score) of texts that hold every phrase; each occurrence adds ``boost``."""
+    count = {f"phrase{i}": T.substring_count(F.col("text"), F.lit(p.lower())) for i, p in enumerate(phrases)}
+    holds = reduce(lambda a, c: a & c, [F.col(n) > 0 for n in count])
+    more = reduce(lambda a, c: a + c, [F.col(n) for n in count])
+    return bm25(docs, terms, extra=count).filter(holds).select("doc_id", (F.col("score") + boost * more).alias("score"))
 
 
 def postings(docs: DataFrame, stop: list[str] = T.STOP) -> DataFrame:
-    """(doc_id, term, tf, dl) of terms that begin with a letter and have 2 to 25 characters, stop words aside."""
-    terms = F.filter(T.tokens(F.col("text")), lambda w: w.rlike("^[a-z][a-z0-9]{1,24}$") & ~w.isin(stop))
-    rows = docs.select("doc_id", terms.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return rows.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf, dl) of terms that begin with a letter and have 2 to 25 characters, stop words aside. A document is counted where it lies: no shuffle."""
+    run_, whole, leave = re.compile(r"[^\W]+"), re.compile(r"[a-z][a-z0-9]{1,24}"), set(stop)
+    ascii_word = re.compile(r"[a-zA-Z0-9_]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, terms, tfs, dls = [], [], [], []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                found = Counter(w for w in map(str.lower, filter(ascii_word.fullmatch, run_.findall(text or ""))) if w not in leave and whole.fullmatch(w))
+                ids += [i] * len(found)
+                terms += found.keys()
+                tfs += found.values()
+                dls += [found.total()] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(dls, pa.int64())], ["doc_id", "term", "tf", "dl"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, term string, tf long, dl long")
+
 
+def term_weights(posted: DataFrame, k1: float = 1.2, b: float = 0.75, keep: int | None = 50, terms: list[str] | None = None) -> DataFrame:
+    """(doc_id, term, weight): idf times saturated tf under the final corpus statistics; the ``keep`` heaviest of each document.
 
-def term_weights(posted: DataFrame, k1: float = 1.2, b: float = 0.75, keep: int | None = 50) -> DataFrame:
-    """(doc_id, term, weight): idf times saturated tf under the final corpus statistics; the ``keep`` heaviest of each document."""
+    The postings are written once. ``terms``: only the documents that hold one of them are weighed.
+    """
+    posted = cut(posted, "postings")
     lengths = posted.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if terms is not None:
+        posted = posted.join(posted.filter(F.col("term").isin(terms)).select("doc_id").distinct(), "doc_id", "left_semi")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     out = posted.join(df, "term").crossJoin(F.broadcast(lengths)).select("doc_id", "term", F.round(idf * saturated, 6).alias("weight"))
@@ -92,6 +113,24 @@ def first_wins(lists: list[DataFrame], key: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def harmonic(*scores: Column) -> Column:
+    """The harmonic mean, 0 where any is 0."""
+    some = reduce(lambda a, c: a | c, [c == 0 for c in scores])
+    return F.when(some, 0.0).otherwise(len(scores) / reduce(lambda a, c: a + c, [1 / c for c in scores]))
+
+
+def map_dot(weights: Column, query: dict[str, float]) -> Column:
+    """The product of a sparse vector, a map from terms to weights, with a query's few terms."""
+    return reduce(lambda a, c: a + c, [F.coalesce(F.try_element_at(weights, F.lit(t)) * w, F.lit(0.0)) for t, w in query.items()])
+
+
+def rerank(candidates: DataFrame, scorer: Column | None, text: Column, keys: list[str], k: int) -> DataFrame:
+    """The best k candidates by a scorer's column, rows without a text last, ties by key; without a scorer the order of the keys stays."""
+    by = [text.isNull(), F.desc(F.col("__score")), *keys] if scorer is not None else keys
+    scored = candidates.withColumn("__score", F.lit(None).cast("double") if scorer is None else scorer)
+    return ranked(scored.orderBy(*by).limit(k), by).drop("__score")
+
+
 def ltr_features(df: DataFrame, length: Column, age_days: Column, query_length: int) -> list[Column]:
     """Text length, freshness and query length as features between 0 and 1."""
     return [
@@ -123,3 +162,20 @@ def metrics(run: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     j = best.join(got, "query_id", "left")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return j.select("query_id", zero(F.col("hits") / F.col("n")).alias("recall"), zero(F.col("hits") / k).alias("precision"), zero(1.0 / F.col("first")).alias("mrr"), zero(F.col("dcg") / F.col("idcg")).alias("ndcg"), zero(F.col("dcg2") / F.col("idcg2")).alias("ndcg_exp"))
+
+
+def class_metrics(run: DataFrame, items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``metrics`` where the relevant documents of a query are the other items(id, class, grade 1 or 2) of its own class.
+
+    The ideal ranking follows from how many items of each grade a class has, so no pairs of a class are made.
+    """
+    grades = items.groupBy("class").agg(F.count_if(F.col("grade") == 2).alias("twos"), F.count_if(F.col("grade") == 1).alias("ones"))
+    own = queries.join(items.withColumnRenamed("id", "query_id"), "query_id").join(grades, "class")
+    own = own.select("query_id", "class", (F.col("twos") - (F.col("grade") == 2).cast("int")).alias("twos"), (F.col("ones") - (F.col("grade") == 1).cast("int")).alias("ones")).filter("twos + ones > 0")
+    hit = run.filter(F.col("rank") <= k).join(own.select("query_id", "class"), "query_id").join(items.withColumnRenamed("id", "doc_id"), ["doc_id", "class"])
+    discount = F.log2(F.col("rank") + 1)
+    got = hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"), F.sum(F.col("grade") / discount).alias("dcg"), F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / discount).alias("dcg2"))
+    gain = lambda two, one: sum((F.when(F.col("twos") >= r, two).when(F.col("twos") + F.col("ones") >= r, one).otherwise(0.0) / F.log2(F.lit(r + 1.0)) for r in range(1, k + 1)), F.lit(0.0))
+    j = own.withColumns({"n": F.col("twos") + F.col("ones"), "idcg": gain(2.0, 1.0), "idcg2": gain(3.0, 1.0)}).join(got, "query_id", "left")
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return j.select("query_id", zero(F.col("hits") / F.col("n")).alias("recall"), zero(F.col("hits") / k).alias("precision"), zero(1.0 / F.col("first")).alias("mrr"), zero(F.col("dcg") / F.col("idcg")).alias("ndcg"), zero(F.col("dcg2") / F.col("idcg2")).alias("ndcg_exp"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.functions import vectors as V
+from vecloom.sources.tables import cut
+
 
 def latest(df: DataFrame, series: str, order: list[Column | str], k: int) -> DataFrame:
     """The last k rows of each series; null series are left out. Spark limits every partition before the shuffle."""
@@ -70,13 +71,37 @@ def token_bucket(requests: DataFrame, key: str, time: str, cost: str, rate: floa
 
 
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], keys: list[str] | None = None) -> DataFrame:
-    """Percentiles as the element at index int(n * p) of the ascending values."""
+    """Percentiles as the element at index int(n * p) of the ascending values, exact; (keys, shares, n, avg, max).
+
+    Approximate quantiles cut each key's values into a hundred ranges, whose counts tell in which one an element lies; only the values of
+    those ranges are counted one by one. So a hot key, or no key at all, is never sorted in one task.
+    """
     keys = keys or []
-    n = F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(0)])))
-    at = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)) - 1
-    rows = df.filter(F.col(value).isNotNull()).withColumns({"__n": n, "__at": at})
-    picks = [F.max(F.when(F.col("__at") == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col(value))).alias(name) for name, p in shares.items()]
-    return rows.groupBy(*keys).agg(*picks, F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("avg"), F.max(value).alias("max"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    whole = rows.groupBy(*keys).agg(F.percentile_approx("__v", [i / 100 for i in range(1, 100)], 1000).alias("__cuts"), F.count(F.lit(1)).alias("n"), F.round(F.avg("__v"), 6).alias("avg"), F.max("__v").alias("max"))
+    whole = cut(whole if keys else whole.filter("n > 0"), "quantiles")
+
+    def on(a: DataFrame, b: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+        return a.join(b, [*keys, *more]) if keys or more else a.crossJoin(F.broadcast(b))
+
+    placed = on(rows, whole.select(*keys, "__cuts")).select(*keys, "__v", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__range"))
+    counts = placed.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__m"))
+    upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range")
+    places = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).alias("at")) for name, p in shares.items()])
+    ranges = on(counts.withColumn("__end", F.sum("__m").over(upto)), whole.select(*keys, F.explode(places).alias("p"), F.lit(1).alias("__one"))).filter("p.at < __end and p.at >= __end - __m")
+    wanted = ranges.select(*keys, "__range", F.col("p.name").alias("__name"), (F.col("p.at") - F.col("__end") + F.col("__m")).alias("__at"))
+    values = on(placed, wanted.select(*keys, "__range").distinct(), ["__range"]).groupBy(*keys, "__range", "__v").agg(F.count(F.lit(1)).alias("__m"))
+    values = values.withColumn("__end", F.sum("__m").over(Window.partitionBy(*keys, "__range").orderBy("__v")))
+    found = on(values, wanted, ["__range"]).filter("__at < __end and __at >= __end - __m")
+    picks = found.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in shares])
+    return on(picks, whole.drop("__cuts"))
+
+
+def split_where_apart(rows: DataFrame, key: str, order: list[str], vector: str, most: float) -> DataFrame:
+    """``chunk`` for each row of a sequence: a new one begins where the cosine distance to the row before exceeds ``most``."""
+    w = Window.partitionBy(key).orderBy(*order)
+    apart = F.round(1 - V.cosine_similarity(F.col(vector), F.lag(vector).over(w)), 9) > most
+    return rows.withColumn("__new", F.when(apart, 1).otherwise(0)).withColumn("chunk", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
 def greedy_clusters(vectors: DataFrame, group: str, least: float, least_size: int = 1) -> DataFrame:
@@ -100,9 +125,3 @@ def greedy_clusters(vectors: DataFrame, group: str, least: float, least_size: in
         return pd.DataFrame([(frame[group].iloc[0], i, n) for i, n in zip(ids, sizes) if n >= least_size], columns=[group, "cluster", "size"])
 
     return vectors.select(F.col(group).cast("long").alias(group), "vec_id", "embedding").groupBy(group).applyInPandas(run, f"{group} long, cluster long, size long")
-
-
-def batches(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for a in range(0, len(frame), rows):
-            yield frame.iloc[a : a + rows]

@@ -60,11 +60,11 @@ def session_windows(spark, sf_dir):
     return events(spark, sf_dir, "user_id", "ts").groupBy("user_id", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_micros("w.start").alias("start"), "n")
 
 
-@REG.query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), d AS (SELECT v.vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.q::DOUBLE[]), 6) AS distance FROM embeddings v JOIN events e ON e.event_id = v.vec_id, q WHERE e.ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY distance, v.vec_id LIMIT 10) SELECT row_number() OVER (ORDER BY distance, vec_id) AS rank, vec_id, distance FROM d")
+@REG.query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), d AS (SELECT v.vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.q::DOUBLE[]), 6) AS distance FROM embeddings v JOIN events e ON e.event_id = v.vec_id, q WHERE e.ts BETWEEN TIMESTAMP '2024-01-01 02:00:00' AND TIMESTAMP '2024-01-01 12:00:00' ORDER BY distance, v.vec_id LIMIT 10) SELECT row_number() OVER (ORDER BY distance, vec_id) AS rank, vec_id, distance FROM d")
 def time_range_knn(spark, sf_dir):
     """Search among the vectors of a time range, both ends included; the range reaches the scan."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    when = events(spark, sf_dir, F.col("event_id").alias("vec_id"), "ts").filter(F.col("ts").between(datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 20)))
+    when = events(spark, sf_dir, F.col("event_id").alias("vec_id"), "ts").filter(F.col("ts").between(datetime.datetime(2024, 1, 1, 2), datetime.datetime(2024, 1, 1, 12)))
     return knn.exact(e.join(when, "vec_id", "left_semi"), knn.query_vector(e, 0), 10).select("rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -82,7 +82,7 @@ def preference_ema(spark, sf_dir):
     return series.fold(events(spark, sf_dir), "user_id", ["ts", "event_id", "value"], step, F.lit(0.0), "ema").select("user_id", F.round("ema", 6).alias("ema"))
 
 
-@REG.query()
+@REG.query("WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL), f AS (SELECT user_id, event_id, us, n, 4.0::DOUBLE AS level FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.us, e.n, least(4.0::DOUBLE, f.level - CASE WHEN f.level >= 1 THEN 1 ELSE 0 END + (e.us - f.us) / 1e6 / 1800) FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) SELECT user_id, event_id, level >= 1 AS allowed FROM f")
 def token_bucket(spark, sf_dir):
     """One request each half hour on average, bursts of four."""
     requests = events(spark, sf_dir).withColumn("cost", F.lit(1.0)).withColumn("ts", F.col("ts").cast("timestamp"))

@@ -5,10 +5,14 @@ A document has the vector whose vec_id is its doc_id. The text query of a single
 
 from __future__ import annotations
 
+import base64
+import importlib.util
+import os
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions import text as T
@@ -18,6 +22,7 @@ from vecloom.operators import knn, retrieval
 from vecloom.plans import dsl
 from vecloom.plans.vector_queries import COS, Q, embeddings, query0
 from vecloom.registry import Registry
+from vecloom.sources import tables
 from vecloom.sources.tables import table
 
 REG = Registry()
@@ -61,15 +66,18 @@ def bm25_substring_tf(spark, sf_dir):
 
 @REG.query(f"WITH {bm25_sql(['of', 'the']).replace('scored AS', 'plain AS')}, scored AS (SELECT doc_id, score + 0.5 * ((length(text) - length(replace(lower(text), 'of the', ''))) // 6) AS score FROM plain WHERE contains(lower(text), 'of the')) {TOP}")
 def bm25_phrase(spark, sf_dir):
-    return retrieval.top(retrieval.phrase_boost(retrieval.bm25(documents(spark, sf_dir), ["of", "the"]), ["of the"]), K).select("rank", "doc_id", "score")
+    return retrieval.top(retrieval.bm25_phrases(documents(spark, sf_dir), ["of", "the"], ["of the"]), K).select("rank", "doc_id", "score")
 
 
 STOPS = ", ".join(f"'{w}'" for w in T.STOP)
 SPLADE = f"w AS (SELECT doc_id, list_filter({TOKENS}, lambda w: regexp_full_match(w, '[a-z][a-z0-9]{{1,24}}') AND NOT list_contains([{STOPS}], w)) AS tok FROM documents), p AS (SELECT doc_id, len(tok) AS dl, unnest(tok) AS term FROM w), po AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL), l AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, dl FROM po)), df AS (SELECT term, count(*) AS df FROM po GROUP BY term), wt AS (SELECT doc_id, po.term, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS weight FROM po JOIN df ON df.term = po.term, l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, po.term) <= 50)"
 
 
-def weights(spark, sf_dir):
-    return retrieval.term_weights(retrieval.postings(documents(spark, sf_dir, "doc_id", "text")))
+def weights(spark, sf_dir, terms=None):
+    return retrieval.term_weights(retrieval.postings(documents(spark, sf_dir, "doc_id", "text")), terms=terms)
+
+
+SPARSE_QUERY = ["von", "thly", "les"]
 
 
 def query_weights(spark):
@@ -87,12 +95,12 @@ def splade_doc_terms(spark, sf_dir):
 
 @REG.query(f"WITH {SPLADE}, {QW}, scored AS (SELECT doc_id, sum(weight * qw) AS score FROM wt JOIN qw ON qw.term = wt.term GROUP BY doc_id) {TOP}")
 def splade_search(spark, sf_dir):
-    return retrieval.top(retrieval.sparse_dot(weights(spark, sf_dir), query_weights(spark)), K).select("rank", "doc_id", "score")
+    return retrieval.top(retrieval.sparse_dot(weights(spark, sf_dir, SPARSE_QUERY), query_weights(spark)), K).select("rank", "doc_id", "score")
 
 
 @REG.query(f"WITH {SPLADE}, {QW}, z AS (SELECT doc_id, sqrt(sum(weight * weight)) AS dn FROM wt GROUP BY 1), scored AS (SELECT wt.doc_id, sum(weight * qw) / (any_value(dn) * (SELECT sqrt(sum(qw * qw)) FROM qw)) AS score FROM wt JOIN qw ON qw.term = wt.term JOIN z ON z.doc_id = wt.doc_id GROUP BY wt.doc_id) {TOP}")
 def sparse_cosine(spark, sf_dir):
-    return retrieval.top(retrieval.sparse_dot(weights(spark, sf_dir), query_weights(spark), cosine=True), K).select("rank", "doc_id", "score")
+    return retrieval.top(retrieval.sparse_dot(weights(spark, sf_dir, SPARSE_QUERY), query_weights(spark), cosine=True), K).select("rank", "doc_id", "score")
 
 
 # Fusion
@@ -148,23 +156,64 @@ def facets(spark, sf_dir):
     return d.filter(F.length("value") < 50).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@REG.query(f"WITH {DENSE}, {SPARSE}, {_UNION.format('1.0::DOUBLE', 60, '1.0::DOUBLE')}, b AS (SELECT f.id, f.rrf, d.lang, d.source FROM f JOIN documents d ON d.doc_id = f.id WHERE d.lang = 'en' AND NOT d.source = 'src3' ORDER BY rrf DESC, id LIMIT 10) SELECT row_number() OVER (ORDER BY rrf DESC, id) AS rank, id, lang, source, round(rrf, 6) AS score, 'vector_first' AS strategy FROM b")
+def fused_under(spark, sf_dir, ids, depth):
+    """(id, rrf) of the dense and the BM25 list, ``depth`` long each, among ``ids`` (all if None). Corpus statistics are those of all documents."""
+    e = embeddings(spark, sf_dir, "vec_id", "embedding")
+    scored = retrieval.bm25(documents(spark, sf_dir), QUERY)
+    q = query0(spark, sf_dir)
+    if ids is not None:
+        e, scored = e.join(ids.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi"), scored.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    dense = knn.exact(e, q, depth).select(F.col("vec_id").alias("id"), "rank")
+    return retrieval.rrf([dense, retrieval.top(scored, depth).select(F.col("doc_id").alias("id"), "rank")])
+
+
+def planned_search(spark, sf_dir, text: str, statistics: dict, k: int = K):
+    """Hybrid search under a query-language predicate, by the strategy the planner picks. filter_first searches among the rows that pass. vector_first
+    takes ``overfetch`` * k of each list and filters those; if fewer than k are left, the filter goes first after all, so the answer is full while rows last.
+    """
+    tree, plan = dsl.plan(text, statistics)
+    docs = documents(spark, sf_dir, "doc_id", "lang", "source")
+    passing = docs.filter(dsl.predicate(tree, schema=docs.schema))
+
+    def answer(fused, strategy):
+        found = passing.join(F.broadcast(fused), F.col("doc_id") == F.col("id"))  # at most two lists of bounded length
+        top = found.orderBy(F.desc("rrf"), "id").limit(k)
+        return knn.ranked(top, [F.desc("rrf"), "id"]).select("rank", "id", "lang", "source", F.round("rrf", 6).alias("score"), F.lit(strategy).alias("strategy"))
+
+    if plan.strategy in ("vector_first", "vector_only"):
+        first = tables.cut(answer(fused_under(spark, sf_dir, None, k * plan.overfetch), plan.strategy))
+        if plan.strategy == "vector_only" or first.count() == k:
+            return first
+    return answer(fused_under(spark, sf_dir, passing.select(F.col("doc_id").alias("id")), 5 * k), "filter_first")
+
+
+def _planned(where: str, strategy: str, depth: int) -> str:
+    """SQL of a planned search whose lists are ``depth`` long; filter_first filters before they are cut."""
+    dense, sparse = DENSE.replace("LIMIT 50", f"LIMIT {depth}"), SPARSE.replace("LIMIT 50", f"LIMIT {depth}")
+    if strategy == "filter_first":
+        dense, sparse = dense.replace("FROM embeddings v, q ORDER", "FROM embeddings v, q WHERE vec_id IN (SELECT doc_id FROM pa) ORDER"), sparse.replace("FROM scored ORDER", "FROM scored WHERE doc_id IN (SELECT doc_id FROM pa) ORDER")
+    return f"WITH pa AS (SELECT doc_id FROM documents WHERE {where}), {dense}, {sparse}, {_UNION.format('1.0::DOUBLE', 60, '1.0::DOUBLE')}, b AS (SELECT f.id, f.rrf, d.lang, d.source FROM f JOIN documents d ON d.doc_id = f.id WHERE d.doc_id IN (SELECT doc_id FROM pa) ORDER BY rrf DESC, id LIMIT 10) SELECT row_number() OVER (ORDER BY rrf DESC, id) AS rank, id, lang, source, round(rrf, 6) AS score, '{strategy}' AS strategy FROM b"
+
+
+@REG.query(_planned("lang = 'en' AND source IS DISTINCT FROM 'src3'", "vector_first", 100))
 def search_pipeline(spark, sf_dir):
-    """Hybrid search under a query-language predicate; the planner names the strategy."""
-    tree, plan = dsl.plan('lang = "en" AND NOT source = "src3" AND semantic_match("q", 10)', {"lang": {"distinct": 4}})
-    fused = retrieval.rrf([dense_list(spark, sf_dir), sparse_list(spark, sf_dir)])
-    kept = documents(spark, sf_dir, "doc_id", "lang", "source").filter(dsl.predicate(tree)).join(F.broadcast(fused), F.col("doc_id") == F.col("id"))
-    top = kept.orderBy(F.desc("rrf"), "id").limit(K)
-    return knn.ranked(top, [F.desc("rrf"), "id"]).select("rank", "id", "lang", "source", F.round("rrf", 6).alias("score"), F.lit(plan.strategy).alias("strategy"))
+    """A weak predicate: the search goes first and fetches ten times as many."""
+    return planned_search(spark, sf_dir, 'lang = "en" AND NOT source = "src3" AND semantic_match("q", 10)', {"lang": {"distinct": 4}})
+
+
+@REG.query(_planned("source = 'src3' AND lang <> 'en'", "filter_first", 50))
+def search_filter_first(spark, sf_dir):
+    """A predicate that few rows pass: the filter goes first, and the lists are full."""
+    return planned_search(spark, sf_dir, 'source = "src3" AND NOT lang = "en" AND semantic_match("q", 10)', {"lang": {"distinct": 4}, "source": {"distinct": 20}})
 
 
 @REG.query(f"WITH {bm25_sql()} SELECT s.doc_id, round(score, 6) AS f_bm25, round(least(length(s.text) / 1000, 1.0), 6) AS f_length, round(greatest(0.0, 1 - date_diff('day', e.ts, TIMESTAMP '2024-02-01') / 365), 6) AS f_freshness, 0.15::DOUBLE AS f_query_length FROM scored s JOIN events e ON e.event_id = s.doc_id")
 def ltr_features(spark, sf_dir):
     """Features of every BM25 match; a document is as old as the event with its id."""
     ts = table(spark, sf_dir, "events", "event_id", "ts")
-    df = retrieval.bm25(documents(spark, sf_dir), QUERY).join(ts, F.col("doc_id") == F.col("event_id"))
+    df = retrieval.bm25(documents(spark, sf_dir), QUERY, extra={"chars": F.length("text")}).join(ts, F.col("doc_id") == F.col("event_id"))
     age = F.datediff(F.lit("2024-02-01").cast("date"), F.col("ts"))
-    length, fresh, words = retrieval.ltr_features(df, F.length("text"), age, len(QUERY))
+    length, fresh, words = retrieval.ltr_features(df, F.col("chars"), age, len(QUERY))
     return df.select("doc_id", F.round("score", 6).alias("f_bm25"), F.round(length, 6).alias("f_length"), F.round(fresh, 6).alias("f_freshness"), words)
 
 
@@ -245,6 +294,38 @@ def recursive_chunks(spark, sf_dir):
     return documents(spark, sf_dir, "doc_id", "text").mapInPandas(run, "doc_id long, chunk long, text string")
 
 
+#: What the tokenizer of a public rank file splits a text into before it merges bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranks_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """A rank file beside the installed package of public tokenizers."""
+    found = importlib.util.find_spec("public_tokenizers")
+    return os.path.join(os.path.dirname(found.origin) if found else "/opt/tokenizers", name)
+
+
+def token_windows(tokens: list[int], size: int = 512, overlap: int = 50) -> list[list[int]]:
+    """Windows of ``size`` tokens, each but the first beginning ``overlap`` before the end of the last; none that only repeats."""
+    return [tokens[a : a + size] for a in range(0, max(len(tokens) - overlap, 1), size - overlap)]
+
+
+def token_chunks(docs: DataFrame, ranks: str | None = None, size: int = 512, overlap: int = 50) -> DataFrame:
+    """(doc_id, chunk, tokens, text) of docs(doc_id, text). Null and empty texts have no chunks; a cut within a character shows as a replacement mark."""
+    with open(ranks or ranks_path(), "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import tiktoken
+
+        pairs = [line.split() for line in sent.value.splitlines()]
+        encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+        for frame in frames:
+            rows = [(i, n, len(w), encoding.decode(w)) for i, t in zip(frame["doc_id"], frame["text"]) if t for n, w in enumerate(token_windows(encoding.encode_ordinary(t), size, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "tokens", "text"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk long, tokens long, text string")
+
+
 class _Page(HTMLParser):
     SKIP = {"script", "style", "noscript", "head", "svg", "template"}
 
@@ -314,7 +395,8 @@ def highlight(spark, sf_dir):
 @REG.query(rf"WITH {bm25_sql()}, r AS (SELECT doc_id, text, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 5), se AS (SELECT doc_id, rank, unnest(list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS sentence FROM r), o AS (SELECT sentence, min(doc_id) AS doc_id, max(round(len(list_intersect(list_distinct({TOKENS.replace('text', 'sentence')}), ['the', 'und', 'tion'])) / (1 + 0.1 * rank), 6)) AS score FROM se WHERE len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda w: w <> '')) >= 5 GROUP BY sentence) SELECT * FROM o WHERE score > 0 ORDER BY score DESC, sentence LIMIT 3")
 def extractive_answer(spark, sf_dir):
     """The three best sentences of the five best documents."""
-    best = retrieval.top(retrieval.bm25(documents(spark, sf_dir), QUERY), 5)
+    top = retrieval.top(retrieval.bm25(documents(spark, sf_dir), QUERY), 5)  # five rows, to which the texts are joined
+    best = documents(spark, sf_dir, "doc_id", "text").join(F.broadcast(top.select("doc_id", "rank")), "doc_id")
     s = best.select("doc_id", "rank", F.explode(T.sentences(F.col("text"))).alias("sentence")).filter(F.size(T.words(F.col("sentence"))) >= 5)
     overlap = F.size(F.array_intersect(T.tokens(F.col("sentence")), F.array(*map(F.lit, QUERY)))) / (1 + 0.1 * F.col("rank"))
     o = s.groupBy("sentence").agg(F.min("doc_id").alias("doc_id"), F.max(F.round(overlap, 6)).alias("score"))
@@ -364,13 +446,15 @@ def near_duplicate_pages(spark, sf_dir):
 @REG.query("SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size <= 30 AND (p_brand = 'Brand#12' OR NOT coalesce(contains(p_type, 'STEEL'), false)) AND p_retailprice IS NOT NULL")
 def filter_builder_ops(spark, sf_dir):
     f = Filter.between("p_size", 10, 30) & (Filter.eq("p_brand", "Brand#12") | ~Filter.of("p_type", "contains", "STEEL")) & Filter.of("p_retailprice", "exists", True)
-    return table(spark, sf_dir, "part").filter(f.column()).select("p_partkey")
+    df = table(spark, sf_dir, "part")
+    return df.filter(f.column(schema=df.schema)).select("p_partkey")
 
 
 @REG.query("SELECT c_custkey FROM customer WHERE c_acctbal >= 1000 AND c_acctbal < 5000 AND c_mktsegment IS DISTINCT FROM 'BUILDING' AND c_nationkey IN (1, 2, 3, 4, 5)")
 def filter_from_dict(spark, sf_dir):
     f = Filter.from_dict({"c_acctbal": {"$gte": 1000, "$lt": 5000}, "c_mktsegment": {"$ne": "BUILDING"}, "c_nationkey": {"$in": [1, 2, 3, 4, 5]}})
-    return table(spark, sf_dir, "customer").filter(f.column()).select("c_custkey")
+    df = table(spark, sf_dir, "customer")
+    return df.filter(f.column(schema=df.schema)).select("c_custkey")
 
 
 @REG.query("SELECT event_id FROM events WHERE props IS NOT NULL AND coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50, false)")
@@ -391,12 +475,13 @@ def filter_nin_missing(spark, sf_dir):
 
 @REG.query("SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand#[1-3]') ")
 def filter_regex(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(Filter.of("p_brand", "regex", "^Brand#[1-3]").column()).select("p_partkey")
+    return table(spark, sf_dir, "part").filter((Filter.of("p_brand", "regex", "^Brand#[1-3]") & Filter.of("p_brand", "exists", True)).column()).select("p_partkey")
 
 
 @REG.query("SELECT p_partkey FROM part WHERE (p_size < 20 AND p_retailprice >= 1000) OR NOT coalesce(p_brand = 'Brand#12', false)")
 def dsl_and_or_not(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(dsl.predicate(dsl.parse('(p_size < 20 AND p_retailprice >= 1000) OR NOT p_brand = "Brand#12"'))).select("p_partkey")
+    df = table(spark, sf_dir, "part")
+    return df.filter(dsl.predicate(dsl.parse('(p_size < 20 AND p_retailprice >= 1000) OR NOT p_brand = "Brand#12"'), schema=df.schema)).select("p_partkey")
 
 
 @REG.query("SELECT p_partkey FROM part WHERE contains('Brand#12,Brand#23', p_brand) OR contains(p_type, 'o')")

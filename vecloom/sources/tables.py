@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,20 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where ``spark.checkpoint.dir`` is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, on one machine a temporary one is set; a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vecloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder: the lineage ends there, and lost executors don't matter."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` written to the shared folder and read again: it is computed once, the lineage ends there, and lost executors don't matter."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def page(df: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:
@@ -41,6 +49,11 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return base.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
+def insert_if_new(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key ``base`` doesn't have; those of one key must have been made one before."""
+    return rows.join(base.select(key), key, "left_anti")
+
+
 def delete(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return base.join(keys.select(key), key, "left_anti")
 
@@ -55,6 +68,32 @@ def statistics(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.agg(F.count(F.lit(1)).alias("vectors"), F.avg(F.size(column)).alias("avg_dimension"))
 
 
+def wrong_dimension(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
+    """(vec_id, dimension) of the vectors that haven't the collection's length."""
+    return vectors.select("vec_id", F.size(column).cast("long").alias("dimension")).filter(F.col("dimension") != dim)
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def sql(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
+    """A SQL statement over the tables of a folder: those it names are registered as temporary views."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", statement):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(statement)
+
+
+def export_arrow(df: DataFrame, path: str) -> str:
+    """Writes a table as Parquet for readers of Arrow, and returns its path; nothing goes through the driver."""
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -73,6 +112,20 @@ def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFram
     return df.select(F.col("link").alias("url"), "title", F.coalesce("content", "description").alias("text")).filter("url is not null and (title is not null or text is not null)")
 
 
+def read_atom(spark: SparkSession, path: str) -> DataFrame:
+    """(url, title, text) of Atom entries: the address of the first link, the content or else the summary."""
+    schema = "id string, title string, summary string, content string, link array<struct<_href string, _rel string>>"
+    df = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    url = F.coalesce(F.get("link", F.lit(0)).getField("_href"), F.col("id"))
+    return df.select(url.alias("url"), "title", F.coalesce("content", "summary").alias("text")).filter("url is not null and (title is not null or text is not null)")
+
+
+def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
+    """(url, lastmod) of the sitemaps that an index names."""
+    df = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string, lastmod string").load(path)
+    return df.select(F.trim("loc").alias("url"), "lastmod").filter("url is not null")
+
+
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     """(url, lastmod) of a sitemap's entries."""
     df = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)

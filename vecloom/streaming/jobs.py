@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions import vectors as V
+from vecloom.operators import knn
 from vecloom.sources.tables import shared_dir, table
 
 
@@ -31,16 +31,19 @@ def run(df: DataFrame, each, root: str, mode: str = "append") -> None:
     query.awaitTermination()
 
 
-def subscription(spark: SparkSession, sf_dir: str, least: float = 0.3, subscribers: int = 5) -> DataFrame:
-    """(subscriber, vec_id, similarity) of every arriving vector within ``least`` of a standing query.
+def subscription(spark: SparkSession, sf_dir: str, least: float = 0.3, every: int = 20) -> DataFrame:
+    """(subscriber, vec_id, similarity) of every arriving vector within ``least`` of a standing query: each vector whose id is divisible by ``every``.
 
-    The standing queries are few and broadcast: a static side joined to the stream.
+    Each batch meets the standing queries block by block, however many they are.
     """
     root = f"{shared_dir(spark)}/subscription-{uuid.uuid4().hex}"
-    standing = table(spark, sf_dir, "embeddings", F.col("vec_id").alias("subscriber"), F.col("embedding").alias("q")).filter(F.col("subscriber") < subscribers)
-    hits = stream(spark, sf_dir, "embeddings").join(F.broadcast(standing), F.col("vec_id") != F.col("subscriber"))
-    hits = hits.select("subscriber", "vec_id", F.round(V.cosine_similarity(F.col("embedding"), F.col("q")), 6).alias("similarity")).filter(F.col("similarity") >= least)
-    run(hits, lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch={i}"), root)
+    standing = knn.query_set(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), every)
+
+    def each(batch: DataFrame, i: int) -> None:
+        hits = knn.similar(standing, batch.select("vec_id", "embedding"), least)
+        hits.select(F.col("query_id").alias("subscriber"), "vec_id", F.round("similarity", 6).alias("similarity")).write.mode("overwrite").parquet(f"{root}/out/batch={i}")
+
+    run(stream(spark, sf_dir, "embeddings"), each, root)
     return spark.read.schema("subscriber long, vec_id long, similarity double").parquet(f"{root}/out/batch=*")
 
 
@@ -81,3 +84,18 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     run(grouped, keep, root, "complete")
     schema = "day string, event_type string, n long, total double"
     return spark.read.schema(schema).parquet(f"{root}/view-{latest['id']}") if latest else spark.createDataFrame([], schema)
+
+
+def seen_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(digest) of each text that arrives, once: the digests seen before are the stream's state."""
+    root = f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}"
+    fresh = stream(spark, sf_dir, "conversations").filter("text is not null").select(F.md5("text").alias("digest")).dropDuplicates(["digest"])
+    run(fresh, lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch={i}"), root)
+    return spark.read.schema("digest string").parquet(f"{root}/out/batch=*")
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, n) of the table that a queue of vectors was flushed to, a folder for each batch."""
+    root = f"{shared_dir(spark)}/ingested-{uuid.uuid4().hex}"
+    run(stream(spark, sf_dir, "embeddings"), lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/table/batch={i}"), root)
+    return spark.read.schema("vec_id long, embedding array<float>, label int").parquet(f"{root}/table/batch=*").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
