@@ -1,11 +1,21 @@
 import random
 from collections import Counter, defaultdict
 
-from vecloom.llm import packing
+from vecloom.llm import packing, records
 
 
-def check_bins(pieces, texts, capacity):
-    """Every byte of every text lies in one place, no bin overflows, offsets don't overlap."""
+def tokens_of(text):
+    """The number of tokens that the default measure counts."""
+    with open(records.ranks_path(), "rb") as f:
+        return len(records.encoder(f.read()).encode_ordinary(text))
+
+
+def bytes_of(text):
+    return len(text.encode())
+
+
+def check_bins(pieces, texts, capacity, size=tokens_of):
+    """Every token of every text lies in one place, no bin overflows, offsets don't overlap."""
     bins, seen = defaultdict(list), defaultdict(list)
     for p in pieces:
         assert 0 < p["length"] <= capacity
@@ -19,7 +29,7 @@ def check_bins(pieces, texts, capacity):
         assert at <= capacity
     want = Counter()
     for doc_id, text in texts:
-        want[doc_id] += len(text.encode()) if text else 0
+        want[doc_id] += size(text) if text else 0
     assert {k: sum(n for _, n in v) for k, v in seen.items()} == {k: n for k, n in want.items() if n}
     assert sorted(bins) == list(range(len(bins)))
     return bins
@@ -72,8 +82,13 @@ def test_plan_against_item_by_item():
 
 
 def test_pack(docs, rows):
-    got = packing.pack(docs, capacity=500).collect()
-    check_bins(got, [(r[0], r[1]) for r in rows], 500)
+    got = packing.pack(docs, capacity=500, measure="bytes").collect()
+    check_bins(got, [(r[0], r[1]) for r in rows], 500, bytes_of)
+
+
+def test_pack_tokens(docs, rows):
+    got = packing.pack(docs, capacity=200).collect()
+    check_bins(got, [(r[0], r[1]) for r in rows], 200)
 
 
 def test_empty(empty):

@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences into bins of fixed length.
 
-Tokens are the UTF-8 bytes of a text. A text longer than a bin is cut into full pieces, which fill
+Tokens are those of a byte-pair encoder, the one of the token-id records, or with ``measure`` "bytes" the UTF-8 bytes of a text. A text longer than a bin is cut into full pieces, which fill
 bins of their own, and a rest; no token is lost. Rests are packed by their lengths alone: the plan
 works on the count of each length, of which there are fewer than ``CAPACITY`` whatever the size of the corpus.
 
@@ -14,12 +14,15 @@ smallest gap that holds it. Documents then get places by their rank among those
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import Scratch, salted_rank
+from vecloom.llm.common import Scratch, salted_rank, slices
+from vecloom.llm.records import encoder, ranks_path
 
 CAPACITY = 8192
 #: Ranks are taken in pieces of about this many rows.
@@ -179,16 +182,34 @@ def _salt_bits(rows: int) -> int:
     return max(0, (rows // ROWS_PER_SALT).bit_length())
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def sizes_of(docs: DataFrame, measure: str = "tokens", ranks: str | None = None) -> DataFrame:
+    """(doc_id, n, h) of the texts that aren't empty: the number of tokens, and a hash that orders texts of equal length. No shuffle."""
+    rows = docs.filter("octet_length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(octet_length(text) as bigint)").alias("n"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), "text")
+    if measure == "bytes":
+        return rows.drop("text")
+    with open(ranks or ranks_path(), "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(sent.value)
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                n = [len(encode.encode_to_numpy(t, disallowed_special=())) for t in piece.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), piece.column("h")], ["doc_id", "n", "h"])
+
+    return rows.mapInArrow(run, "doc_id long, n long, h long")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, measure: str = "tokens") -> DataFrame:
     """One row for each piece of a text: (bin_id, doc_id, piece, start, length, offset).
 
-    The piece is bytes ``start`` to ``start + length`` of the text and lies at ``offset`` of its bin. Null and empty texts
-    have no tokens and no piece. Equal rows are packed one by one; which of them gets which place is of no account.
+    The piece is tokens ``start`` to ``start + length`` of the text and lies at ``offset`` of its bin. Null and empty texts
+    have no tokens and no piece; a null doc_id is packed like any other. Equal rows are packed one by one; which of them gets which place is of no account.
+    A text of any length is counted whole and cut into full bins. An empty table has no bins; columns other than doc_id and text aren't read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    sizes = docs.filter("octet_length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(octet_length(text) as bigint)").alias("n"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"))
-    sizes = scratch.write(sizes, "sizes").withColumn("full", F.expr(f"n div {capacity}")).withColumn("rest", F.col("n") % capacity)
+    sizes = scratch.write(sizes_of(docs, measure), "sizes").withColumn("full", F.expr(f"n div {capacity}")).withColumn("rest", F.col("n") % capacity)
     counts = {r[0]: r[1] for r in sizes.groupBy("rest").count().collect()}  # at most one row for each length below the capacity
     with_full, full = sizes.filter("full > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("full"), F.lit(0))).first()
     out = []
