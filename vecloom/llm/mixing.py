@@ -16,6 +16,7 @@ and hands it on in batches: its memory follows the number of sources, its time t
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import batched
@@ -43,22 +44,27 @@ def quantised(weights: list[float], quantum: int) -> list[Fraction]:
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, float], least_live: float = LEAST_LIVE, quantum: int = QUANTUM) -> Iterator[tuple[str, int, int]]:
-    """(source, block, slot) in the order of the slots, earliest deadline first. The parts are exact, so ``quantum`` doesn't matter to them."""
+    """(source, block, slot) in the order of the slots, earliest deadline first. The shares are exact, so ``quantum`` doesn't matter to them.
+
+    A slot costs a step of a heap; a phase, of which there are at most as many as sources, the heap of the sources that are left.
+    """
     live = sorted(s for s in blocks if blocks[s] > 0 and weights[s] > 0)
     total = sum(weights[s] for s in live)
     done, at = dict.fromkeys(live, 0), 0
+    # The exact weights as whole numbers with a common denominator, so that a new phase costs no fractions.
+    exact = {s: Fraction(weights[s]) for s in live}
+    common = math.lcm(*[w.denominator for w in exact.values()]) if live else 1
+    whole = {s: w.numerator * (common // w.denominator) for s, w in exact.items()}
     while live and sum(weights[s] for s in live) >= least_live * total:
-        parts = quantised([weights[s] for s in live], quantum)
         # Block j of a source is released at j * up // down, and due before the same of j + 1, rounded up.
-        ratio = [(quantum / w).as_integer_ratio() for w in parts]
+        up, downs = sum(whole[s] for s in live), [whole[s] for s in live]
         waiting = [(0, i, 0) for i in range(len(live))]
         ready: list[tuple[int, int, int]] = []
         t = 0
         while True:
             while waiting and waiting[0][0] <= t:
                 _, i, j = heapq.heappop(waiting)
-                up, down = ratio[i]
-                heapq.heappush(ready, (-((j + 1) * -up // down), i, j))
+                heapq.heappush(ready, (-((j + 1) * -up // downs[i]), i, j))
             deadline, i, j = heapq.heappop(ready)
             if t >= deadline:
                 raise AssertionError("a deadline was missed")
@@ -69,8 +75,7 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], least_live: floa
             done[s] += 1
             t += 1
             at += 1
-            up, down = ratio[i]
-            heapq.heappush(waiting, ((j + 1) * up // down, i, j + 1))
+            heapq.heappush(waiting, ((j + 1) * up // downs[i], i, j + 1))
         live = [s for s in live if done[s] < blocks[s]]
 
 
