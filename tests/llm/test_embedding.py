@@ -65,8 +65,22 @@ def test_edges(spark):
     assert {"vec_id": 107, "duplicate_of": 5} in [r.asDict() for r in got]
 
 
+def test_classes(spark):
+    """One row for each id, with the class of all pairs and its size."""
+    rows = [(i, x.tolist()) for i, x in enumerate(planted(9, 60, 16))] + [(100, None), (101, [0.0] * 16), (None, [1.0] * 16), (5, [2.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    went = {r["vec_id"]: r["duplicate_of"] for r in embedding.near_duplicates(df).collect()}
+    got = {r["vec_id"]: (r["class_id"], r["members"]) for r in embedding.classes(df).collect()}
+    ids = {i for i, _ in rows if i is not None}
+    assert set(got) == ids and went
+    for i in ids:
+        kept = went.get(i, i)
+        assert got[i] == (kept, 1 + sum(k == kept for k in went.values()))
+
+
 def test_empty(spark):
-    assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    nothing = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert embedding.near_duplicates(nothing).count() == 0 and embedding.classes(nothing).count() == 0
 
 
 def test_rotation_keeps_distances():

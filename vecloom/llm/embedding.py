@@ -327,17 +327,31 @@ def near_duplicates(table: DataFrame, id_column: str = "vec_id", column: str = "
     return whole.filter("node <> component").select(F.col("node").alias(id_column), F.col("component").alias("duplicate_of"))
 
 
+def classes(table: DataFrame, id_column: str = "vec_id", column: str = "embedding", **parameters) -> DataFrame:
+    """One row for each id that isn't null: (vec_id, class_id, members), the class being named by its least id.
+
+    An id in no group of ``near_duplicates`` is a class of its own. Pairs aren't listed: a class of n vectors is n rows.
+    """
+    ids = table.select(F.col(f"`{id_column}`").cast("long").alias(id_column)).filter(F.col(id_column).isNotNull()).distinct()
+    found = near_duplicates(table, id_column, column, **parameters)
+    named = ids.join(found, id_column, "left").select(id_column, F.coalesce("duplicate_of", id_column).alias("class_id"))
+    sizes = found.groupBy(F.col("duplicate_of").alias("class_id")).agg((F.count(F.lit(1)) + 1).alias("members"))
+    return named.join(sizes, "class_id", "left").select(id_column, "class_id", F.coalesce("members", F.lit(1)).cast("long").alias("members"))
+
+
 ORACLE_SQL = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
 ), near AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE}
 ), reach AS (
-  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a
+  SELECT vec_id AS a, vec_id AS b FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a
+), class AS (
+  SELECT a AS vec_id, min(b) AS class_id FROM reach GROUP BY a
 )
-SELECT a AS vec_id, min(b) AS duplicate_of FROM reach GROUP BY a HAVING min(b) < a
+SELECT vec_id, class_id, count(*) OVER (PARTITION BY class_id) AS members FROM class
 """
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
