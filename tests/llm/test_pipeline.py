@@ -38,7 +38,7 @@ def test_language_id(spark, folder, stages):
     model = langid.fit(spark.read.parquet(f"{folder}/documents.parquet"))
 
     def keeps(text):
-        owner, post = langid.label(model, [text], {}, [])
+        owner, post = langid.label(model, [text], langid.Scores(model))
         return langid._verdicts(model, 1, owner, post, langid.LEAST_SHARE)[-1][0].as_py()
 
     rows = stages[0]
