@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +19,58 @@ def latest(df: DataFrame, series: str, order: list[Column | str], k: int) -> Dat
     return df.filter(F.col(series).isNotNull()).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def streamed(rows: DataFrame, key: str, order: list[str], columns: list[str], step, close, schema: str) -> DataFrame:
+    """An ordered fold that goes through each key's sorted rows as a stream: ``step(state, row, out)`` returns the next state, ``close(key, state, out)``
+    ends a key; both append result rows to ``out``. A key is never held in memory, however many rows it has; Spark's sort spills."""
+    names = [key, *columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([(n, t) for n, t in zip(fields, types)])
+        at, state, out, begun = None, None, [], False
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if not begun or row[0] != at:
+                    if begun:
+                        close(at, state, out)
+                    at, state, begun = row[0], None, True
+                state = step(state, row, out)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], schema=kind)
+                out = []
+        if begun:
+            close(at, state, out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], schema=kind)
+
+    known = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields, types = zip(*[(f.split()[0], known[f.split()[1]]) for f in schema.split(", ")])
+    sorted_ = rows.select(*dict.fromkeys([*names, *order])).repartition(key).sortWithinPartitions(key, *order)
+    return sorted_.select(*names).mapInArrow(run, schema)
+
+
 def anchored_windows(events: DataFrame, series: str, time: str, width_seconds: int) -> DataFrame:
     """(series, window_start, window_end, events): a window begins at an event and holds those up to ``width_seconds`` later.
 
     The first later event begins the next one and is the end of this one; the last ends at its last
-    event. Not a grid, not a session: each series is folded in time order in Arrow batches,
-    one series in memory at a time.
+    event. Not a grid, not a session: each series is folded in time order.
     """
     width = width_seconds * 1_000_000
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        at = sorted(frame["us"].tolist())
-        out, start, n = [], at[0], 0
-        for t in at:
-            if t - start > width:
-                out.append((start, t, n))
-                start, n = t, 0
-            n += 1
-        out.append((start, at[-1], n))
-        return pd.DataFrame([(frame[series].iloc[0], *x) for x in out], columns=[series, "window_start", "window_end", "events"])
+    def step(state, row, out):
+        who, t = row
+        if state is None:
+            return t, t, 1
+        start, _, n = state
+        if t - start > width:
+            out.append((who, start, t, n))
+            return t, t, 1
+        return start, t, n + 1
+
+    def close(who, state, out):
+        out.append((who, *state))
 
     rows = events.filter(F.col(series).isNotNull() & F.col(time).isNotNull()).select(F.col(series).cast("long").alias(series), F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
-    return rows.groupBy(series).applyInPandas(fold, f"{series} long, window_start long, window_end long, events long")
+    return streamed(rows, series, ["us"], ["us"], step, close, f"{series} long, window_start long, window_end long, events long")
 
 
 def vector_statistics(df: DataFrame, keys: list[str], column: str = "embedding") -> DataFrame:
@@ -46,28 +79,36 @@ def vector_statistics(df: DataFrame, keys: list[str], column: str = "embedding")
     return dims.groupBy(*keys, F.col("d").cast("long").alias("d")).agg(F.round(F.avg("x"), 6).alias("mean"), F.when(F.count("x") > 1, F.round(F.stddev_pop("x"), 6)).alias("std"), F.count("x").alias("n"))
 
 
-def fold(df: DataFrame, key: str, order: list[str], step, start: Column, out: str) -> DataFrame:
-    """An ordered fold of each key's rows: ``step(state, row)`` over the structs of its sorted rows."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("rows"))
-    return rows.select(key, F.aggregate("rows", start, step).alias(out))
+def scaled_and_clamped(df: DataFrame, key: str, order: list[str], grows: Column, start: float, up: float, down: float, least: float, most: float, out: str) -> DataFrame:
+    """(key, out): a value that each row in order multiplies by ``up`` where ``grows`` holds, else by ``down``, kept between ``least`` and ``most``."""
+
+    def step(state, row, _):
+        value = start if state is None else state
+        return min(most, value * up) if row[1] else max(least, value * down)
+
+    rows = df.filter(F.col(key).isNotNull()).withColumn("__grows", F.coalesce(grows, F.lit(False))).withColumn(key, F.col(key).cast("long"))
+    return streamed(rows, key, order, ["__grows"], step, lambda who, state, found: found.append((who, state)), f"{key} long, {out} double")
+
+
+def running_mean(df: DataFrame, key: str, order: list[str], value: Column, share: float, out: str) -> DataFrame:
+    """(key, out): the exponential mean of each key's values in order, from 0. In closed form: the value k rows from the end has the weight share * (1 - share) ** k."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])) - 1
+    return df.withColumn("__w", share * F.pow(F.lit(1.0 - share), back)).groupBy(key).agg(F.sum(F.col("__w") * value).alias(out))
 
 
 def token_bucket(requests: DataFrame, key: str, time: str, cost: str, rate: float, burst: float) -> DataFrame:
     """``allowed`` for each request: the bucket refills with elapsed time up to ``burst``; a request it cannot pay is refused."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([time, "event_id"])
-        level, last, out = burst, None, []
-        for t, c in zip(frame[time], frame[cost]):
-            if last is not None:
-                level = min(burst, level + (t - last).total_seconds() * rate)
-            last = t
-            ok = level >= c
-            level -= c if ok else 0.0
-            out.append(ok)
-        return pd.DataFrame({key: frame[key], "event_id": frame["event_id"], "allowed": out})
-
-    return requests.select(key, "event_id", time, F.col(cost).cast("double").alias(cost)).groupBy(key).applyInPandas(run, f"{key} long, event_id long, allowed boolean")
+    def step(state, row, out):
+        who, event, us, price = row
+        level, last = state or (burst, us)
+        level = min(burst, level + (us - last) / 1e6 * rate)
+        ok = level >= price
+        out.append((who, event, ok))
+        return (level - price if ok else level), us
+
+    rows = requests.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), "event_id", F.unix_micros(F.col(time).cast("timestamp")).alias("us"), F.col(cost).cast("double").alias("cost"))
+    return streamed(rows, key, ["us", "event_id"], ["event_id", "us", "cost"], step, lambda *_: None, f"{key} long, event_id long, allowed boolean")
 
 
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], keys: list[str] | None = None) -> DataFrame:

@@ -71,15 +71,15 @@ def time_range_knn(spark, sf_dir):
 @REG.query("WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (SELECT user_id, 0::BIGINT AS n, 24.0::DOUBLE AS hours FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT e.user_id, e.n, CASE WHEN e.event_type = 'purchase' THEN greatest(1.0::DOUBLE, f.hours * 0.5) ELSE least(720.0::DOUBLE, f.hours * 1.5) END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) SELECT user_id, round(hours, 6) AS hours FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1")
 def recrawl_interval(spark, sf_dir):
     """A change (purchase) halves the interval, anything else lengthens it by half, from 1 hour to 30 days."""
-    step = lambda h, r: F.when(r["event_type"] == "purchase", F.greatest(F.lit(1.0), h * 0.5)).otherwise(F.least(F.lit(720.0), h * 1.5))
-    return series.fold(events(spark, sf_dir), "user_id", ["ts", "event_id", "event_type"], step, F.lit(24.0), "hours").select("user_id", F.round("hours", 6).alias("hours"))
+    h = series.scaled_and_clamped(events(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("event_type") != "purchase", 24.0, 1.5, 0.5, 1.0, 720.0, "hours")
+    return h.select("user_id", F.round("hours", 6).alias("hours"))
 
 
 @REG.query("WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (SELECT user_id, 0::BIGINT AS n, 0.0::DOUBLE AS ema FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT e.user_id, e.n, 0.95 * f.ema + 0.05 * coalesce(e.value, 0) FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) SELECT user_id, round(ema, 6) AS ema FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1")
 def preference_ema(spark, sf_dir):
     """A running mean in order of time, a twentieth for each new value."""
-    step = lambda s, r: 0.95 * s + 0.05 * F.coalesce(r["value"], F.lit(0.0))
-    return series.fold(events(spark, sf_dir), "user_id", ["ts", "event_id", "value"], step, F.lit(0.0), "ema").select("user_id", F.round("ema", 6).alias("ema"))
+    m = series.running_mean(events(spark, sf_dir), "user_id", ["ts", "event_id"], F.coalesce("value", F.lit(0.0)), 0.05, "ema")
+    return m.select("user_id", F.round("ema", 6).alias("ema"))
 
 
 @REG.query("WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL), f AS (SELECT user_id, event_id, us, n, 4.0::DOUBLE AS level FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.us, e.n, least(4.0::DOUBLE, f.level - CASE WHEN f.level >= 1 THEN 1 ELSE 0 END + (e.us - f.us) / 1e6 / 1800) FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) SELECT user_id, event_id, level >= 1 AS allowed FROM f")
