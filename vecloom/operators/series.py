@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,23 +146,38 @@ def split_where_apart(rows: DataFrame, key: str, order: list[str], vector: str,
 
 
 def greedy_clusters(vectors: DataFrame, group: str, least: float, least_size: int = 1) -> DataFrame:
-    """(group, cluster, size): in order of id each vector joins the first cluster whose first member has a cosine of ``least`` or more."""
-    import numpy as np
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id")
-        heads, ids, sizes = [], [], []
-        for i, v in zip(frame["vec_id"], frame["embedding"]):
-            v = np.asarray(v, np.float64)
-            size = np.linalg.norm(v)
-            v = v / size if size else v
-            close = np.flatnonzero(np.array(heads) @ v >= least) if heads else []
-            if len(close):
-                sizes[close[0]] += 1
-            else:
-                heads.append(v)
+    """(group, cluster, size): in order of id each vector joins the first cluster whose first member has a cosine of ``least`` or more.
+
+    The order is part of the definition, so a group is one task; it goes through the sorted vectors as a stream and holds the clusters' first members only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads, ids, sizes, begun = None, np.zeros((0, 0)), [], [], False
+
+        def done() -> pa.RecordBatch:
+            kept = [(at, i, n) for i, n in zip(ids, sizes) if n >= least_size]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.int64()) for k in range(3)], [group, "cluster", "size"])
+
+        for batch in batches:
+            for who, i, v in zip(*(batch.column(c).to_pylist() for c in (group, "vec_id", "embedding"))):
+                if not begun or who != at:
+                    if begun:
+                        yield done()
+                    at, heads, ids, sizes, begun = who, np.zeros((0, len(v))), [], [], True
+                v = np.array(v, np.float64)
+                size = np.linalg.norm(v)
+                v = v / size if size else v
+                close = np.flatnonzero(heads[: len(ids)] @ v >= least)
+                if len(close):
+                    sizes[close[0]] += 1
+                    continue
+                if len(ids) == len(heads):
+                    heads = np.concatenate([heads, np.zeros((max(16, len(heads)), len(v)))])
+                heads[len(ids)] = v
                 ids.append(i)
                 sizes.append(1)
-        return pd.DataFrame([(frame[group].iloc[0], i, n) for i, n in zip(ids, sizes) if n >= least_size], columns=[group, "cluster", "size"])
+        if begun:
+            yield done()
 
-    return vectors.select(F.col(group).cast("long").alias(group), "vec_id", "embedding").groupBy(group).applyInPandas(run, f"{group} long, cluster long, size long")
+    rows = vectors.select(F.col(group).cast("long").alias(group), F.col("vec_id").cast("long").alias("vec_id"), "embedding").repartition(group).sortWithinPartitions(group, "vec_id")
+    return rows.mapInArrow(run, f"{group} long, cluster long, size long")
