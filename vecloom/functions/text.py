@@ -27,22 +27,6 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(runs, lambda w: w.rlike("^[a-zA-Z0-9_]+$")), F.lower)
 
 
-#: Before and after a token no letter, digit or underscore of any script may stand.
-ALONE = r"(?<![\p{L}\p{N}_])%s(?![\p{L}\p{N}_])"
-
-
-def token_count(text: Column) -> Column:
-    """How many ``tokens`` the text has, without making them."""
-    return F.regexp_count(text, F.lit(ALONE % "[a-zA-Z0-9_]++")).cast("long")
-
-
-def term_count(text: Column, term: str) -> Column:
-    """How many of the text's tokens are ``term``, which consists of lower-case ASCII letters, digits and underscores."""
-    if not re.fullmatch("[a-z0-9_]+", term):
-        return F.lit(0).cast("long")
-    return F.regexp_count(text, F.lit(ALONE % f"(?i:{term})")).cast("long")
-
-
 def substring_count(text: Column, part: Column) -> Column:
     """Occurrences, not overlapping, upper and lower case alike."""
     low = F.lower(text)

@@ -10,29 +10,60 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vecloom.functions import text as T
 from vecloom.operators.knn import ranked
 from vecloom.sources.tables import cut
 
 
+TOKEN = re.compile(r"\w+")
+
+
+def term_counts(docs: DataFrame, terms: list[str], carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, dl, tf0 ..) of docs(doc_id, text) and the columns to carry: the number of tokens (as ``text.tokens`` has them), and of each term.
+
+    One pass in Arrow batches that counts the different tokens of a text: several times faster than a regular expression for each term.
+    """
+    carry = carry or []
+    kinds = {c: docs.schema[c] for c in carry}
+    at = {t: i for i, t in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dl, tf = [], [[] for _ in terms]
+            for text in batch.column("text").to_pylist():
+                n, found = 0, [0] * len(terms)
+                for w, k in Counter(TOKEN.findall(text or "")).items():
+                    if w.isascii():
+                        n += k
+                        i = at.get(w.lower())
+                        if i is not None:
+                            found[i] += k
+                dl.append(n)
+                for column, k in zip(tf, found):
+                    column.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(dl, pa.int64()), *[pa.array(x, pa.int64()) for x in tf], *[batch.column(c) for c in carry]], ["doc_id", "dl", *[f"tf{i}" for i in range(len(terms))], *carry])
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("dl", LongType()), *[StructField(f"tf{i}", LongType()) for i in range(len(terms))], *kinds.values()])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, schema)
+
+
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75, substrings: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, score) of documents with a positive score, and the ``extra`` columns of the text.
 
-    One pass over the texts counts tokens and query terms, in expressions that make no arrays, and writes the counts, a few numbers a
-    document, to the shared folder; corpus statistics and scores are read off that. ``substrings`` counts occurrences inside longer words as well.
+    One pass over the texts counts tokens and query terms and writes the counts, a few numbers a document, to the shared folder;
+    corpus statistics and scores are read off that, and no token is ever shuffled. ``substrings`` counts occurrences inside longer words as well.
     """
-    text = F.col("text")
-    count = (lambda w: T.substring_count(text, F.lit(w))) if substrings else (lambda w: T.term_count(text, w))
-    narrow = docs.select("doc_id", T.token_count(text).alias("dl"), *[count(w).alias(f"tf{i}") for i, w in enumerate(terms)], *([(T.term_count(text, w) > 0).alias(f"in{i}") for i, w in enumerate(terms)] if substrings else []), *[c.alias(n) for n, c in (extra or {}).items()])
-    rows = cut(narrow.filter("dl > 0"), "bm25")
-    inside = [F.col(f"in{i}") if substrings else F.col(f"tf{i}") > 0 for i in range(len(terms))]
+    more = dict(extra or {}) | ({f"in{i}": T.substring_count(F.col("text"), F.lit(w)) for i, w in enumerate(terms)} if substrings else {})
+    rows = cut(term_counts(docs.select("doc_id", "text", *[c.alias(n) for n, c in more.items()]), terms, list(more)).filter("dl > 0"), "bm25")
+    inside = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
     statistics = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(c).alias(f"df{i}") for i, c in enumerate(inside)])
     weight = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        tf, df = F.col(f"in{i}" if substrings else f"tf{i}"), F.col(f"df{i}")
         weight = weight + F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    some = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
+    some = reduce(lambda x, y: x | y, [F.col(f"in{i}" if substrings else f"tf{i}") > 0 for i in range(len(terms))])
     return rows.filter(some).crossJoin(F.broadcast(statistics)).select("doc_id", weight.alias("score"), *(extra or {})).filter("score > 0")
 
 
@@ -52,18 +83,31 @@ def bm25_phrases(docs: DataFrame, terms: list[str], phrases: list[str], boost: f
 
 def postings(docs: DataFrame, stop: list[str] = T.STOP) -> DataFrame:
     """(doc_id, term, tf, dl) of terms that begin with a letter and have 2 to 25 characters, stop words aside. A document is counted where it lies: no shuffle."""
-    run_, whole, leave = re.compile(r"[^\W]+"), re.compile(r"[a-z][a-z0-9]{1,24}"), set(stop)
-    ascii_word = re.compile(r"[a-zA-Z0-9_]+")
+    whole, leave = re.compile(r"[a-z][a-z0-9]{1,24}"), set(stop)
+
+    class Terms(dict):
+        """The term that a token stands for, or an empty string."""
+
+        def __missing__(self, token: str) -> str:
+            low = token.lower()
+            term = low if token.isascii() and whole.fullmatch(low) and low not in leave else ""
+            if len(self) < 500_000:
+                self[token] = term
+            return term
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term_of = Terms()
         for batch in batches:
             ids, terms, tfs, dls = [], [], [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = Counter(w for w in map(str.lower, filter(ascii_word.fullmatch, run_.findall(text or ""))) if w not in leave and whole.fullmatch(w))
+                found: dict[str, int] = {}
+                for w, n in Counter(TOKEN.findall(text or "")).items():
+                    if term := term_of[w]:
+                        found[term] = found.get(term, 0) + n
                 ids += [i] * len(found)
-                terms += found.keys()
+                terms += found
                 tfs += found.values()
-                dls += [found.total()] * len(found)
+                dls += [sum(found.values())] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(dls, pa.int64())], ["doc_id", "term", "tf", "dl"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, term string, tf long, dl long")
