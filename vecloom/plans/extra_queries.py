@@ -143,10 +143,11 @@ def audit_purge(spark, sf_dir):
     return events(spark, sf_dir, "event_type", "ts").groupBy("event_type").agg(F.count_if(old).alias("purged"), F.count_if(~old).alias("kept"))
 
 
-@REG.query("SELECT user_id, count(*) AS events, min(event_id) AS first_event, max(event_id) AS last_event, round(sum(value), 4) AS total FROM events WHERE user_id % 10 = 3 GROUP BY user_id")
+@REG.query("SELECT user_id, count(*) AS events, min(event_id) AS first_event, max(event_id) AS last_event, round(sum(value), 4) AS total FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY user_id")
 def gdpr_export(spark, sf_dir):
-    """What is stored about the users who asked (those whose id ends in 3)."""
-    return events(spark, sf_dir).filter("user_id % 10 = 3").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.round(F.sum("value"), 4).alias("total"))
+    """What is stored about the users who asked (here those with a signup)."""
+    asked = events(spark, sf_dir, "user_id", "event_type").filter("event_type = 'signup'").select("user_id").distinct()
+    return events(spark, sf_dir).join(asked, "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @REG.query("SELECT c_custkey, '[NAME]' AS name, '[REDACTED]' AS token, c_mktsegment AS segment, '[PHONE]' AS phone FROM customer")
