@@ -17,7 +17,8 @@ the end) as a polynomial in their positions, so that all runs of a text cost one
 collision would cut a text: with 3e12 spans (100 TB) one is expected once in 2e4 such corpora.
 
 Only the first of equal spans in a batch of documents can be the first of all; the others are repeats without any join. So a passage
-that very many documents share sends a row for each batch, not for each document, to the task that orders its occurrences.
+that very many documents share sends a span for each batch, not for each document, to the task that orders its occurrences. Spans
+travel packed, 19 bytes each, by ranges of the hash.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.common import Scratch, slices, text_key
+from vecloom.llm.common import Scratch, release_memory, slices, text_key
 
 SENTENCES, CHARS, WORDS = 2, 40, 50
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+\Z")
@@ -176,44 +177,117 @@ def _settled(code: np.ndarray, more: np.ndarray, doc: np.ndarray, at: np.ndarray
     return order, (doc != doc[first]) | (at != at[first])
 
 
-def span_rows(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> DataFrame:
-    """(hash, more, doc, at, sure): ``at`` is tag * 2 ** PLACE_BITS + place. ``sure`` rows are repeats of a span of their batch; they take no part in any
-    comparison, so their hash is one of their own. Of equal rows of a batch one stays."""
+#: A span in the shuffle: its hashes, which of the batch's documents it is in, and its place in two parts. A settled one needs no hashes.
+SPAN = np.dtype([("hash", "<i8"), ("more", "<i4"), ("doc", "<u2"), ("low", "<u4"), ("high", "u1")])
+SETTLED = np.dtype([("doc", "<u2"), ("low", "<u4"), ("high", "u1")])
+NAME = np.dtype([("doc", "<i8"), ("tag", "<i4")])
+#: Bytes of text whose spans one task orders, and that are packed together (of at most BATCH_DOCS documents). Packing pays while a batch has
+#: several spans for each bucket, up to about a terabyte with these; with the memory of larger executors both can be as much larger.
+BUCKET_BYTES, BATCH_BYTES, BATCH_DOCS = 8 << 20, 4_000_000, 50_000
+
+
+def _places_into(out: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    out["doc"], out["low"], out["high"] = row, place & 0xFFFFFFFF, place >> 32
+    return out
+
+
+def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
+    return (((code.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(batch: pa.RecordBatch, buckets: int, least: int, chars: int, every: bool) -> pa.RecordBatch:
+    """The spans of one batch of (doc, tag, text), packed by bucket."""
+    done = 0
+    names = np.zeros(batch.num_rows, NAME)
+    names["doc"], names["tag"] = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for piece in slices(batch, "text"):
+        texts = [t or "" for t in piece.column("text").to_pylist()]
+        row, (code, more), start, end = spans(texts, least, chars, every)
+        found.append((code, more, row + done, _places(row, start, end)))
+        if every:
+            row, (code, more), start = word_spans(texts, least, chars)
+            found.append((code, more, row + done, start + WORD_PLACES))
+        done += len(texts)
+    code, more, row, place = (np.concatenate(x) for x in zip(*found))
+    doc, at = names["doc"][row], (names["tag"][row].astype(np.int64) << PLACE_BITS) + place
+    order, sure = _settled(code, more, doc, at)
+    code, more, row, place, doc, at = code[order], more[order], row[order], place[order], doc[order], at[order]
+    stay = np.ones(len(code), bool)
+    stay[1:] = (code[1:] != code[:-1]) | (more[1:] != more[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+    open_, sure = np.flatnonzero(stay & ~sure), np.flatnonzero(stay & sure)
+    packed = _places_into(np.zeros(len(open_), SPAN), row[open_], place[open_])
+    packed["hash"], packed["more"] = code[open_], more[open_]
+    settled = _places_into(np.zeros(len(sure), SETTLED), row[sure], place[sure])
+    with np.errstate(over="ignore"):
+        parts = [(x, np.argsort(b, kind="stable"), b) for x, b in ((packed, _bucket(code[open_], buckets)), (settled, _bucket(doc[sure] * np.int64(-7046029254386353131), buckets)))]
+    (packed, first, b), (settled, second, c) = parts
+    packed, settled, b, c = packed[first], settled[second], b[first], c[second]
+    out = []
+    for k in np.unique(np.concatenate([b, c])):
+        some, rest = (x[slice(*np.searchsorted(y, [k, k + 1]))].copy() for x, y in ((packed, b), (settled, c)))
+        used = np.unique(np.concatenate([some["doc"], rest["doc"]]))
+        some["doc"], rest["doc"] = np.searchsorted(used, some["doc"]), np.searchsorted(used, rest["doc"])
+        out.append((k, names[used].tobytes(), some.tobytes(), rest.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "names", "spans", "settled"])
+
+
+def packed_spans(docs: DataFrame, buckets: int, least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> DataFrame:
+    """(bucket, names, spans, settled): the spans of a batch of documents by the bucket of their hash, packed.
+
+    ``settled`` are repeats of a span of their own batch; they take no part in any comparison and go to the bucket of their document.
+    Of equal rows of a batch one stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for piece in slices(batch, "text"):
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                doc, tag = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
-                row, (code, more), start, end = spans(texts, least, chars, every)
-                found.append((code, more, doc[row], (tag[row] << PLACE_BITS) + _places(row, start, end)))
-                if every:
-                    row, (code, more), start = word_spans(texts, least, chars)
-                    found.append((code, more, doc[row], (tag[row] << PLACE_BITS) + start + WORD_PLACES))
-            code, more, doc, at = (np.concatenate(x) for x in zip(*found))
-            order, sure = _settled(code, more, doc, at)
-            code, more, doc, at = code[order], more[order], doc[order], at[order]
-            again = np.zeros(len(code), bool)
-            again[1:] = (code[1:] == code[:-1]) & (more[1:] == more[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
-            with np.errstate(over="ignore"):
-                own = (doc * np.int64(-7046029254386353131)) ^ (at * np.int64(-4417276706812531889))
-            code = np.where(sure, own, code)
-            yield pa.RecordBatch.from_arrays([pa.array(x[~again]) for x in (code, more, doc, at, sure)], ["hash", "more", "doc", "at", "sure"])
+        for whole in batches:
+            for some in slices(whole, "text", BATCH_BYTES):
+                for a in range(0, some.num_rows, BATCH_DOCS):
+                    yield _packed(some.slice(a, BATCH_DOCS), buckets, least, chars, every)
+        release_memory()
 
     doc, tag = _names()
-    return docs.select(doc.alias("doc"), tag.alias("tag"), "text").mapInArrow(run, "hash long, more int, doc long, at long, sure boolean")
+    return docs.select(doc.alias("doc"), tag.alias("tag"), "text").mapInArrow(run, "bucket long, names binary, spans binary, settled binary")
+
+
+def unpacked(table: pa.Table) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(hash, more, doc, at) of the spans and (doc, at) of the settled ones of packed rows."""
+    open_, done = [[np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64)]], [[np.zeros(0, np.int64), np.zeros(0, np.int64)]]
+    for names, some, rest in zip(*(table.column(c).to_pylist() for c in ("names", "spans", "settled"))):
+        names = np.frombuffer(names, NAME)
+        for raw, kind, out in ((some, SPAN, open_), (rest, SETTLED, done)):
+            x = np.frombuffer(raw, kind)
+            at = (names["tag"][x["doc"]].astype(np.int64) << PLACE_BITS) + (x["high"].astype(np.int64) << 32) + x["low"]
+            out.append([*([x["hash"], x["more"]] if kind is SPAN else []), names["doc"][x["doc"]], at])
+    return tuple(np.concatenate(x) for x in zip(*open_)), tuple(np.concatenate(x) for x in zip(*done))
 
 
 def repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CHARS, every: bool = False) -> DataFrame:
-    """The spans that aren't the first of their kind: (doc, tag, place). One shuffle, by hash.
+    """The spans that aren't the first of their kind: (doc, tag, places). One shuffle, by hash; a task orders the spans of about ``BUCKET_BYTES`` of text.
 
     Equal rows (same doc_id and text) count as one document, so none of them is a repeat of another. So do rows of equal texts
     whose doc_id is null, as nothing tells them apart.
     """
-    w = Window.partitionBy("hash", "more", "sure").orderBy(F.col("at") < 0, "doc", "at")
-    first = span_rows(docs, least, chars, every).withColumn("first", F.first(F.struct("doc", "at")).over(w))
-    return first.filter("sure or not (doc = first.doc and at = first.at)").select("doc", F.shiftright("at", PLACE_BITS).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    packed = packed_spans(docs, -(-size // BUCKET_BYTES) or 1, least, chars, every)
+
+    def each(table: pa.Table) -> pa.Table:
+        (code, more, doc, at), (settled_doc, settled_at) = unpacked(table)
+        order, later = _settled(code, more, doc, at)
+        repeated = order[later]
+        doc, at = np.concatenate([doc[repeated], settled_doc]), np.concatenate([at[repeated], settled_at])
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        tag = at >> PLACE_BITS
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+        first = np.flatnonzero(new)
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(at & ((1 << PLACE_BITS) - 1)))
+        out = pa.table({"doc": doc[first], "tag": tag[first], "places": places})
+        release_memory()
+        return out
+
+    return packed.groupBy("bucket").applyInArrow(each, "doc long, tag long, places array<long>")
 
 
 def _without(pieces: list[str], rest: list[str], starts: np.ndarray) -> None:
@@ -261,7 +335,8 @@ def drop_repeated_spans(docs: DataFrame, least: int = SENTENCES, chars: int = CH
     too short for a span are never cut; very long ones are read whole, each in one task. ``gone`` names a column to add: the number of sentences removed in whole or in part.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    cut = scratch.write(repeated_spans(docs, least, chars, every).groupBy("doc", "tag").agg(F.collect_set("place").alias("__vl_at")), "cut")
+    found = repeated_spans(docs, least, chars, every).groupBy("doc", "tag")
+    cut = scratch.write(found.agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("__vl_at")), "cut")  # a row holds places of one text
     cut = cut.withColumnsRenamed({"doc": "__vl_doc", "tag": "__vl_tag"})
     doc, tag = _names()
     out = docs.join(cut, (doc == F.col("__vl_doc")) & (tag == F.col("__vl_tag")), "left")
