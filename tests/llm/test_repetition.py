@@ -53,5 +53,13 @@ def test_very_long_periodic_text():
     assert repetition.repetition("ab " * 50_000) == (150_000, 149_997)
 
 
+def test_very_long_text_without_repeats():
+    """A third of a million random characters, then with one passage repeated."""
+    rng = random.Random(2)
+    t = "".join(rng.choice("abcdefghij ") for _ in range(330_000))
+    assert repetition.repetition(t, 64) == (0, 0)
+    assert repetition.repetition(t + "|" + t[1000:1400], 64) == (800, 400)
+
+
 def test_empty(empty):
     assert repetition.repetition_rules(empty).count() == 0

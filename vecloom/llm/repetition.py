@@ -132,7 +132,8 @@ def repetition_rules(docs: DataFrame, least: int = MIN_REPEAT, most_covered: flo
     """One row for each document: (doc_id, chars, repeated_chars, repeated_fraction, longest_repeat, keep).
 
     Null and empty texts have no repeats and are kept (null ones have null chars). No shuffle; a text is looked at alone, so equal rows
-    get equal results. Other columns, whatever their names, aren't read.
+    get equal results. Other columns, whatever their names, aren't read; an empty table gives no rows. Of repeats of the same length any counts. A text of any
+    length is looked at whole; its worker holds about a hundred bytes a character.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
