@@ -17,7 +17,9 @@ def vocabulary():
     return tokens.read_vocabulary(tokens.tokenizer_path(tokens.MODEL))
 
 
-def test_random_vocabularies_with_ties():
+@pytest.mark.parametrize("long", [0, 4096])
+def test_random_vocabularies_with_ties(monkeypatch, long):
+    monkeypatch.setattr(tokens, "LONG", long)
     rng = random.Random(0)
     for _ in range(400):
         v = {"<unk>": 0.0}
@@ -51,8 +53,9 @@ def test_two_vocabularies_in_one_worker(spark):
     assert got == [library(v, False)("hello world") for v in (base, other, base)] and got[0] != got[1]
 
 
-def test_long_text_without_spaces():
+def test_long_text_without_spaces(monkeypatch):
     """The ring of last ends is as long as the longest piece needs."""
+    monkeypatch.setattr(tokens, "LONG", 100)
     v = [("<unk>", 0.0), (tokens.MARK, -2.0), ("a", -2.0), ("ab", -3.0), ("bab", -3.5), ("b", -2.5), ("abba", -4.0)]
     rng = random.Random(3)
     for alphabet in ("ab", "abc"):

@@ -32,6 +32,8 @@ UNKNOWN_PENALTY = 10.0
 MODEL = "piece_bpe_32k.model"
 #: Words whose counts a worker remembers.
 MEMORY = 600_000
+#: Words longer than this are counted with the last ends only.
+LONG = 4096
 
 
 def tokenizer_path(name: str) -> str:
@@ -68,7 +70,48 @@ class Counts(dict):
         self.bytes = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in vocabulary}
 
     def count(self, word: str) -> int:
-        """Scores and counts by end are kept for the ``ring`` last ends, more than the longest piece has characters."""
+        n = len(word)
+        if n > LONG:
+            return self._count_long(word)
+        low = float("-inf")
+        best, pieces = [low] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        if self.single.issuperset(word):
+            for last, (length, score) in self.automaton.iter(word):
+                end = last + 1
+                start = end - length
+                total = score + best[start]
+                if total > best[end]:
+                    best[end] = total
+                    pieces[end] = pieces[start] + 1
+            return pieces[n]
+        # Some character is no piece: its edge comes after the longer pieces with the same end.
+        done, fused = 0, [False] * (n + 1)
+
+        def unknowns(upto: int) -> None:
+            nonlocal done
+            while done < upto:
+                c = word[done]
+                done += 1
+                if c not in self.single:
+                    total = self.unknown + best[done - 1]
+                    if total > best[done]:
+                        best[done] = total
+                        more = len(c.encode("utf-8", "replace")) if self.bytes else 1 - fused[done - 1]
+                        pieces[done], fused[done] = pieces[done - 1] + more, True
+
+        for last, (length, score) in self.automaton.iter(word):
+            end = last + 1
+            unknowns(last)
+            total = score + best[end - length]
+            if total > best[end]:
+                best[end] = total
+                pieces[end], fused[end] = pieces[end - length] + 1, False
+        unknowns(n)
+        return pieces[n]
+
+    def _count_long(self, word: str) -> int:
+        """``count`` with scores and counts of the ``ring`` last ends only, more than the longest piece has characters."""
         n, ring = len(word), self.ring
         low = float("-inf")
         best, pieces = [low] * ring, [0] * ring
