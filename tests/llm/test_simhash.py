@@ -104,3 +104,11 @@ def test_many_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(simhash, "AT_ONCE", 4)
     df = spark.createDataFrame([(7, "the same words over and over again here")] * 23 + [(3, "the same words over and over again here"), (4, "quite another text with other words in it")], "doc_id long, text string")
     assert sorted((r[0], r[1]) for r in simhash.near_duplicates(df).collect()) == [(7, 3)] * 23
+
+
+def test_dropping_by_shuffle(docs, monkeypatch):
+    """Beyond the size that is broadcast the same documents go."""
+    rows = lambda: sorted((tuple(r) for r in simhash.drop_near_duplicates(docs).collect()), key=repr)
+    want = rows()
+    monkeypatch.setattr(simhash, "FEW_MEMBERS", 0)
+    assert rows() == want

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import Scratch, components, slices, text_key
+from vecloom.llm.common import Scratch, components, release_memory, slices, text_key
 
 BLOCKS, WIDTH = 5, 25
 RADIUS = 3 * BLOCKS - 1
-#: Equal rows that one array stands for.
-AT_ONCE = 10_000
+#: Equal rows that one array stands for; members of groups, of some 40 bytes each, that are broadcast at most.
+AT_ONCE, FEW_MEMBERS = 10_000, 500_000
 
 
 #: Lower-case UTF-8 bytes to words: ASCII punctuation, white space and controls part them, all else is kept.
@@ -70,7 +70,7 @@ def with_fingerprints(docs: DataFrame, blocks: int = BLOCKS, width: int = WIDTH)
         high, low = (1 << np.arange(63, dtype=np.int64)), (1 << np.arange(max(bits - 63, 0), dtype=np.int64))
         part = 1 << np.arange(width, dtype=np.int32)
         for batch in batches:
-            for piece in slices(batch, "text", 3_000_000):
+            for piece in slices(batch, "text"):
                 have, b = fingerprints(piece.column("text").to_pylist(), bits)
                 if not len(have):
                     continue
@@ -85,6 +85,7 @@ def with_fingerprints(docs: DataFrame, blocks: int = BLOCKS, width: int = WIDTH)
                     ],
                     ["doc_id", "key", "hi", "lo", "block"],
                 )
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     return rows.mapInArrow(run, "doc_id long, key long, hi long, lo long, block array<int>")
@@ -170,12 +171,15 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash-drop")
     members = scratch.write(near_groups(docs, scratch=scratch, **parameters).select(F.col("doc_id").alias("__vl_id"), F.col("key").alias("__vl_key"), F.when(F.col("keep"), F.col("rows")).otherwise(0).alias("__vl_rows")), "members")
     id_, key = F.col("doc_id").cast("long"), text_key(F.col("text"))
-    out = docs.join(members.filter("__vl_rows <> 1"), id_.eqNullSafe(F.col("__vl_id")) & (key == F.col("__vl_key")), "left")
+    changed = members.filter("__vl_rows <> 1")
+    # A short list of what goes is broadcast, so that the texts stay where they are; a longer one is joined by a shuffle.
+    beside = F.broadcast if changed.count() <= FEW_MEMBERS else (lambda df: df)
+    out = docs.join(beside(changed), id_.eqNullSafe(F.col("__vl_id")) & (key == F.col("__vl_key")), "left")
     single = out.filter("__vl_rows is null").select(*[docs[c] for c in docs.columns])
     again = members.filter("__vl_rows > 1")
     if again.isEmpty():
         return single
-    many = docs.join(again, id_.eqNullSafe(F.col("__vl_id")) & (key == F.col("__vl_key")))
+    many = docs.join(beside(again), id_.eqNullSafe(F.col("__vl_id")) & (key == F.col("__vl_key")))
     one = many.withColumn("__vl_n", F.row_number().over(Window.partitionBy("__vl_id", "__vl_key").orderBy(F.lit(0)))).filter("__vl_n = 1")
     return single.unionByName(one.select(*docs.columns))
 
