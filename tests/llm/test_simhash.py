@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from vecloom.llm import simhash
 
@@ -112,3 +113,20 @@ def test_dropping_by_shuffle(docs, monkeypatch):
     want = rows()
     monkeypatch.setattr(simhash, "FEW_MEMBERS", 0)
     assert rows() == want
+
+
+def test_many_candidates_are_no_rows(spark, monkeypatch):
+    """Rows of one variant are compared in parts of bounded size within a task, each near pair once; no join makes rows of candidates."""
+    rng = random.Random(6)
+    blocks, width, centre = 2, 12, 0xABC
+    points = sorted({centre | rng.getrandbits(12) << 12 for _ in range(400)} | {(centre ^ 1) | rng.getrandbits(12) << 12 for _ in range(100)})
+    emitted = [(k << width | (p >> k * width & 4095) ^ f, p, 0) for p in points for k in range(blocks) for f in (0, *(1 << i for i in range(width)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*emitted)], ["variant", "hi", "lo"])
+    want = {(a, b) for a in points for b in points if a < b and (a ^ b).bit_count() <= 5}
+    for most in (7, 1000, 1 << 18):
+        monkeypatch.setattr(simhash, "CANDIDATES", most)
+        got = [(r["a"]["hi"], r["b"]["hi"]) for part in simhash._collisions(iter([batch]), 5, blocks, width) for r in part.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert list(simhash._collisions(iter([]), 5, blocks, width)) == []
+    prints = spark.createDataFrame([(p, 0, [p & 4095, p >> 12]) for p in points], "hi long, lo long, block array<int>")
+    assert "Join" not in simhash.near_edges(prints, 5, blocks, width)._jdf.queryExecution().toString()
