@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, SimHash near-dedup, substring dedup, mixing, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. The first four return the columns of
-``documents``; the last returns the bins. ``run`` writes each result as Parquet in the shared folder and hands the
+``documents``; the last returns the bins, in the order in which the mixture was written. ``run`` writes each result as Parquet in the shared folder and hands the
 written table to the next stage, so a lost executor costs no more than the tasks of one stage; a table goes when the next is written.
 
 Null and blank texts go with the first stage. Documents without a doc_id are kept and treated like others, their equal texts
@@ -40,8 +40,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(bin_id, doc_id, piece, start, length, offset) of every piece of the mixture's texts, in tokens."""
-    return packing.pack(docs)
+    """(bin_id, doc_id, piece, start, length, offset) of every piece of the mixture's texts, in tokens; the bins follow the order of the mixture."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [

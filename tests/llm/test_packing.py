@@ -93,3 +93,28 @@ def test_pack_tokens(docs, rows):
 
 def test_empty(empty):
     assert packing.pack(empty).count() == 0
+
+
+def test_bins_follow_the_order_of_the_rows(spark, tmp_path):
+    """Each run of rows fills bins of its own, numbered by run and then by first row; equal lengths keep their order."""
+    rng = random.Random(4)
+    texts = [(i, "x" * rng.randint(0, 45)) for i in rng.sample(range(100), 97)] + [(None, "y" * 9), (200, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.createDataFrame(texts, "doc_id long, text string").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/seven")
+    for name, order in (("one", texts), ("seven", sorted(texts, key=lambda r: (r[0] is not None, r[0])))):
+        at = {doc: i for i, (doc, _) in enumerate(order)}
+        pieces = [r.asDict() for r in packing.pack_in_order(spark.read.parquet(f"{tmp_path}/{name}"), 20, "bytes", 10).collect()]
+        check_bins(pieces, texts, 20, bytes_of)
+        inside = defaultdict(set)
+        for p in pieces:
+            inside[p["bin_id"]].add(at[p["doc_id"]])
+        assert all(len({i // 10 for i in v}) == 1 for v in inside.values())
+        firsts = [min(inside[b]) for b in sorted(inside)]
+        assert firsts == sorted(firsts)
+        sizes = [sum(p["length"] for p in pieces if p["bin_id"] == b) for b in inside]
+        assert sum(sizes) / (20 * len(sizes)) > 0.85
+
+
+def test_in_order_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none")
+    assert packing.pack_in_order(spark.read.parquet(f"{tmp_path}/none")).count() == 0

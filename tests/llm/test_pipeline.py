@@ -81,6 +81,18 @@ def test_packing(stages, spark, folder):
     assert Counter(map(tuple, corpus_pipeline.run(spark, folder).collect())) == Counter(rows[5])
 
 
+def test_bins_follow_the_mixture(stages, spark, folder, monkeypatch, tmp_path):
+    """Read one after another, the bins hold run after run of the mixture; another order of it gives other bins."""
+    order = [r[0] for r in spark.read.parquet(f"{folder}/stage3").orderBy("_metadata.file_name", "_metadata.row_index").collect()]
+    monkeypatch.setattr(packing.pack_in_order, "__defaults__", (packing.CAPACITY, "tokens", 8))
+    got = sorted(tuple(r) for r in corpus_pipeline.packed(spark, spark.read.parquet(f"{folder}/stage3"), folder).select("bin_id", "doc_id").collect() if r[1] is not None)
+    runs = [order.index(doc) // 8 for _, doc in got]
+    assert runs == sorted(runs) and runs[-1] > 3
+    spark.read.parquet(f"{folder}/stage3").coalesce(1).sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/other")
+    other = [tuple(r) for r in corpus_pipeline.packed(spark, spark.read.parquet(f"{tmp_path}/other"), folder).select("bin_id", "doc_id").collect()]
+    assert Counter(d for _, d in other if d is not None) == Counter(d for _, d in got) and set(other) != set(got)
+
+
 def test_empty(spark, empty, tmp_path):
     empty.select(*COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

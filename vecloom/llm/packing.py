@@ -9,24 +9,30 @@ a pair, else by a triple of the available lengths. Sets of lengths are bit sets,
 complements and of sums of pairs are shifts and intersections; a combination is consumed as often as its counts
 allow. What fits no combination is packed by best fit, longest first: into the open bin with the
 smallest gap that holds it. Documents then get places by their rank among those of equal length.
+
+Where the documents have an order, such as a mixture's, ``pack_in_order`` packs each run of ``WINDOW`` documents by itself, so the bins
+read one after another hold the documents in that order, but for the places inside a run.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import Scratch, salted_rank, slices
+from vecloom.llm.common import Scratch, salted_rank, slices, unused
 from vecloom.llm.records import encoder, ranks_path
 
 CAPACITY = 8192
 #: Ranks are taken in pieces of about this many rows.
 ROWS_PER_SALT = 500_000
+#: Documents that are packed together where they have an order.
+WINDOW = 16_384
 
 
 class _Lengths:
@@ -182,9 +188,9 @@ def _salt_bits(rows: int) -> int:
     return max(0, (rows // ROWS_PER_SALT).bit_length())
 
 
-def sizes_of(docs: DataFrame, measure: str = "tokens", ranks: str | None = None) -> DataFrame:
-    """(doc_id, n, h) of the texts that aren't empty: the number of tokens, and a hash that orders texts of equal length. No shuffle."""
-    rows = docs.filter("octet_length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(octet_length(text) as bigint)").alias("n"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), "text")
+def sizes_of(docs: DataFrame, measure: str = "tokens", ranks: str | None = None, order: Column | None = None) -> DataFrame:
+    """(doc_id, n, h) of the texts that aren't empty: the number of tokens, and a hash, or ``order``, that orders texts of equal length. No shuffle."""
+    rows = docs.filter("octet_length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(octet_length(text) as bigint)").alias("n"), (F.xxhash64(F.col("doc_id").cast("long"), "text") if order is None else order).alias("h"), "text")
     if measure == "bytes":
         return rows.drop("text")
     with open(ranks or ranks_path(), "rb") as f:
@@ -233,6 +239,49 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, measure: str = "tokens") ->
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of a written table with their number, from 0, in the order they were written in: by task, file and row of the file."""
+    at, row, start = (unused(x, [*docs.columns, name]) for x in ("__vl_file", "__vl_row", "__vl_start"))
+    meta = docs.metadataColumn("_metadata")
+    files = docs.select(meta["file_path"].alias(at)).groupBy(at).count().collect()  # one row for each file
+    starts, n = [], 0
+    for path, rows in sorted(files, key=lambda r: (int((re.search(r"part-(\d+)[^/]*$", r[0]) or [0, 0])[1]), r[0])):
+        starts.append((path, n))
+        n += rows
+    table = docs.sparkSession.createDataFrame(starts, f"{at} string, {start} long")
+    return docs.withColumns({at: meta["file_path"], row: meta["row_index"]}).join(F.broadcast(table), at).withColumn(name, F.col(start) + F.col(row)).drop(at, row, start)
+
+
+def _window_places(counts: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """For each length of one run of documents, the places of its ranks."""
+    table = places(plan({int(x): int(n) for x, n in zip(counts["rest"], counts["n"])}, capacity))
+    return pd.DataFrame({"w": counts["w"].iloc[0], "len": list(table), "p": [[{"rank": a, "bin": b, "k": k, "off": o} for a, b, k, o in v] for v in table.values()]})
+
+
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, measure: str = "tokens", window: int = WINDOW) -> DataFrame:
+    """``pack`` for a written table whose rows have an order: each run of ``window`` rows fills bins of its own.
+
+    Bins are numbered by run, and inside a run by the first of their documents; of texts of equal length the earlier take the earlier places. A run leaves
+    about one bin part empty. Runs are planned in tasks of their own; nulls, empty and long texts and equal rows as in ``pack``.
+    """
+    scratch = Scratch(docs.sparkSession, "packing")
+    at = unused("__vl_pos", docs.columns)
+    sizes = scratch.write(sizes_of(numbered(docs.select("doc_id", "text"), at), measure, order=F.col(at)), "sizes")
+    sizes = sizes.withColumns({"w": F.expr(f"h div {window}"), "full": F.expr(f"n div {capacity}"), "rest": F.col("n") % capacity})
+    rest = sizes.filter("rest > 0")
+    plans = rest.groupBy("w", "rest").agg(F.count(F.lit(1)).alias("n")).groupBy("w").applyInPandas(lambda counts: _window_places(counts, capacity), "w long, len long, p array<struct<rank:long,bin:long,k:long,off:long>>")
+    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("w", "rest").orderBy("h")) - 1)
+    placed = ranked.join(plans.withColumnRenamed("len", "rest"), ["w", "rest"]).withColumn("x", F.expr("element_at(filter(p, y -> y.rank <= rank), -1)")).withColumn("q", F.expr("rank - x.rank"))
+    rests = placed.select("w", "h", F.expr("x.bin + q div x.k").alias("b"), "doc_id", F.col("full").alias("piece"), (F.col("full") * capacity).alias("start"), F.col("rest").alias("length"), F.expr("x.off + q % x.k * rest").alias("offset"))
+    rests = rests.withColumn("h", F.min("h").over(Window.partitionBy("w", "b"))).withColumn("kind", F.lit(1))
+    full = sizes.filter("full > 0").select("w", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("b"), "doc_id")
+    full = full.select("w", "h", "b", "doc_id", F.col("b").alias("piece"), (F.col("b") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("kind"))
+    pieces = scratch.write(rests.unionByName(full).withColumn("at", F.dense_rank().over(Window.partitionBy("w").orderBy("h", "kind", "b")).cast("long") - 1), "pieces")
+    before = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
+    first = pieces.groupBy("w").agg((F.max("at") + 1).alias("m")).select("w", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))  # one row for each run
+    return pieces.join(first, "w").select((F.col("first") + F.col("at")).alias("bin_id"), "doc_id", "piece", "start", "length", "offset")
+
+
 ORACLE_SQL = None  # a sequential plan: tests/llm/test_packing.py compares it with packing item by item
 
 
