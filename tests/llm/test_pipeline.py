@@ -7,7 +7,7 @@ from test_packing import check_bins
 from test_simhash import brute as near_duplicates
 from test_substring import brute as cut
 
-from vecloom.llm import langid, mixing, packing
+from vecloom.llm import langid, mixing, packing, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,6 +54,14 @@ def test_near_dedup(stages):
     assert Counter(rows[2]) == +want
 
 
+def test_near_dedup_joins_no_candidates(spark, folder, stages, monkeypatch):
+    """Chance candidates grow with the square of the documents: the stage makes no rows of them."""
+    plans, real = [], simhash.near_edges
+    monkeypatch.setattr(simhash, "near_edges", lambda *a: plans.append(real(*a)) or plans[-1])
+    corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{folder}/stage0"), folder)
+    assert plans and all("Join" not in df._jdf.queryExecution().toString() for df in plans)
+
+
 def test_substring_dedup(stages):
     rows = stages[0]
     rest = {(r[0], r[1]): r[2:4] for r in rows[2]}
