@@ -130,3 +130,49 @@ def test_many_candidates_are_no_rows(spark, monkeypatch):
     assert list(simhash._collisions(iter([]), 5, blocks, width)) == []
     prints = spark.createDataFrame([(p, 0, [p & 4095, p >> 12]) for p in points], "hi long, lo long, block array<int>")
     assert "Join" not in simhash.near_edges(prints, 5, blocks, width)._jdf.queryExecution().toString()
+
+
+def classes(points, pairs):
+    """Point -> least of its connected component."""
+    near = {frozenset(p) for p in pairs}
+    return groups(points, lambda a, b: frozenset((a, b)) in near)
+
+
+def test_links_make_the_same_groups(spark, monkeypatch):
+    """Chains, dense groups and lone fingerprints: fewer links in a task than fingerprints, and the components of all near pairs."""
+    rng = random.Random(8)
+    blocks, width = 2, 12
+    points = {rng.getrandbits(24) for _ in range(150)}
+    for steps in (1, 3, 20):
+        at = rng.getrandbits(24)
+        for _ in range(120):
+            p = at
+            for _ in range(rng.randint(1, 3)):
+                p ^= 1 << rng.randrange(24)
+            points.add(p)
+            at = p if steps > 1 and rng.randrange(steps) == 0 else at
+    points = sorted(points)
+    want = classes(points, [(a, b) for a in points for b in points if a < b and (a ^ b).bit_count() <= 5])
+    emitted = [(k << width | (p >> k * width & 4095) ^ f, p, 0) for p in points for k in range(blocks) for f in (0, *(1 << i for i in range(width)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*emitted)], ["variant", "hi", "lo"])
+    for most, dense in ((7, 3), (7, 10_000), (100, 30), (1 << 18, 128)):
+        monkeypatch.setattr(simhash, "CANDIDATES", most)
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        got = [(r["a"]["hi"], r["b"]["hi"]) for part in simhash._collisions(iter([batch]), 5, blocks, width, True) for r in part.to_pylist()]
+        assert len(got) < len(points) and all(a < b for a, b in got) and classes(points, got) == want
+    assert list(simhash._collisions(iter([]), 5, blocks, width, True)) == []
+    prints = spark.createDataFrame([(p, 0, [p & 4095, p >> 12]) for p in points], "hi long, lo long, block array<int>")
+    assert classes(points, [tuple(r) for r in simhash.near_edges(prints, 5, blocks, width, True).selectExpr("a.hi", "b.hi").collect()]) == want
+
+
+def test_large_group_is_not_all_its_pairs(spark, monkeypatch):
+    """Near copies that grow with the table send links in proportion, not the square of their number."""
+    rng, n = random.Random(9), 150
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join([*words[:k], f"other{k}", *words[k + 1 :]]) for k in range(n)]
+    sent, real = [], simhash.near_edges
+    monkeypatch.setattr(simhash, "near_edges", lambda *a: sent.append(real(*a)) or sent[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.near_duplicates(docs).collect()) == [(k, 0) for k in range(1, n)]
+    tasks = sent[0].rdd.getNumPartitions()
+    assert sent[0].count() < n * tasks < n * (n - 1) / 8
