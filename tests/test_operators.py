@@ -352,3 +352,47 @@ def test_planner_acts(spark, sf_dir):
     rows = got.collect()
     assert {r["strategy"] for r in rows} == {"filter_first"} and all(r["lang"] == "fr" and r["source"] == "src3" for r in rows)
     assert len(rows) == min(passing, 10)
+
+
+def test_product_codes_send_few_rows(spark):
+    """Codes so coarse that they rule out hardly any row: what a block sends is still k rows a query, and copies tie by id."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[10:30] = x[0]
+    v = tables.cut(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>"))
+    books = knn.pq_train(v, 2, 2, rounds=1)
+    sent = []
+    keep = knn.best_of_each
+    knn.best_of_each = lambda near, k: sent.append(near.count()) or keep(near, k)
+    try:
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["distance"]) for r in knn.pq_search(knn.query_set(v, 60), v, knn.pq_codes(v, books), books, 10).collect()}
+    finally:
+        knn.best_of_each = keep
+    assert sent == [10 * 10]
+    x = x.astype(np.float64)
+    for q in range(0, 600, 60):
+        d = np.round(np.linalg.norm(x - x[q], axis=1), 9)
+        want = [j for j in np.lexsort((np.arange(600), d)).tolist() if j != q][:10]
+        assert [got[q, k] for k in range(1, 11)] == [(j, d[j]) for j in want]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+@pytest.mark.parametrize("size", [1e-30, 1.0, 1e30])
+def test_screen_leaves_out_no_neighbour(metric, size):
+    """Copies, multiples, zero vectors and values that aren't numbers, at any magnitude, against all pairs."""
+    rng = np.random.default_rng(7)
+    b = (rng.normal(size=(900, 24)) * size).astype(np.float32)
+    b[100:140], b[200], b[300] = b[7], 0, b[301] * 3
+    b[400], b[401] = np.nan, np.inf
+    rid = rng.permutation(900).astype(np.int64)
+    with np.errstate(all="ignore"):
+        found = knn.closest(rid[:600:3], rid, 10, knn.Screen(b[:600:3], b, metric), lambda r, c: knn.exact_distances(b[:600:3], b, metric, r, c))
+        got = sorted(zip(*(x.to_pylist() for x in found.columns)))
+        y, want = b.astype(np.float64), []
+        n = np.linalg.norm(y, axis=1)
+        for i in range(0, 600, 3):
+            dot = y @ y[i]
+            d = np.linalg.norm(y - y[i], axis=1) if metric == "euclidean" else -dot if metric == "dot" else 1 - np.divide(dot, n * n[i], out=np.zeros(900), where=n * n[i] > 0)
+            d = np.round(d, 9)
+            want += [(int(rid[i]), int(rid[j]), d[j]) for j in np.lexsort((rid, d)) if j != i and np.isfinite(d[j])][:10]
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
