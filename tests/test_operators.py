@@ -396,3 +396,13 @@ def test_screen_leaves_out_no_neighbour(metric, size):
             d = np.round(d, 9)
             want += [(int(rid[i]), int(rid[j]), d[j]) for j in np.lexsort((rid, d)) if j != i and np.isfinite(d[j])][:10]
     assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+
+
+def test_subscription_rounds_before_it_compares(spark, tmp_path):
+    """A similarity of 0.29999968 is 0.3 in six digits, as the SQL has it; one of 0.2999993 isn't."""
+    from vecloom.streaming import jobs
+
+    rows = [(0, [1.0, 0.0], 0)] + [(i, [x, (1 - x * x) ** 0.5], 0) for i, x in ((1, 0.29999968), (2, 0.2999993), (3, 0.31))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["vec_id"], r["similarity"]) for r in jobs.subscription(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0.3), (3, 0.31)}
