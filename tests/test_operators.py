@@ -406,3 +406,37 @@ def test_subscription_rounds_before_it_compares(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r["vec_id"], r["similarity"]) for r in jobs.subscription(spark, str(tmp_path)).collect()}
     assert got == {(1, 0.3), (3, 0.31)}
+
+
+def counted(left, right):
+    """How many rows the blocks send and how many pairs they see, with one row a left row and block."""
+    each = lambda key, lid, a, rid, b: pa.table({"query_id": lid, "n": np.full(len(lid), len(rid))})
+    r = knn.meet(left, right, each, "query_id long, n long").agg(F.count(F.lit(1)), F.sum("n")).first()
+    return r[0], r[1]
+
+
+def test_blocks_send_in_proportion(spark, monkeypatch):
+    """Three times the vectors are sent three times, not nine, while blocks are small; beyond that blocks keep their size."""
+    monkeypatch.setattr(knn, "TASK_PAIRS", 1, raising=False)
+    df = lambda n: spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    small, large = counted(df(3000), df(3000)), counted(df(9000), df(9000))
+    assert small[1] == 3000**2 and large[1] == 9000**2 and large[0] == 3 * small[0]
+    monkeypatch.setattr(knn, "BLOCK_NUMBERS", 2 * 1024)
+    assert counted(df(30_000), df(3000)) == (30_000 * 3, 30_000 * 3000)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e6])
+def test_distance_counts(spark, size):
+    """Bins in arrays or, where there would be too many, sorted; against all pairs, the row itself left out."""
+    x = np.random.default_rng(8).normal(size=(300, 4)) * size
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["bin"]): r["n"] for r in knn.distance_counts(knn.query_set(v, 30), v, 10).collect()}
+    want = Counter((q, int(np.linalg.norm(x[q] - y) * 10)) for q in range(0, 300, 30) for i, y in enumerate(x) if i != q)
+    assert got == want
+
+
+def test_maxsim_of_groups(spark):
+    x = np.random.default_rng(9).normal(size=(200, 4))
+    v = spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {(r["query_id"], r["label"]): round(r["m"], 9) for r in knn.maxsim(knn.query_set(v, 40), v, "label").collect()}
+    assert got == {(q, g): round(max(float(x[q] @ x[i]) for i in range(200) if i % 3 == g), 9) for q in range(0, 200, 40) for g in range(3)}
