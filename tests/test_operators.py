@@ -440,3 +440,20 @@ def test_maxsim_of_groups(spark):
     v = spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {(r["query_id"], r["label"]): round(r["m"], 9) for r in knn.maxsim(knn.query_set(v, 40), v, "label").collect()}
     assert got == {(q, g): round(max(float(x[q] @ x[i]) for i in range(200) if i % 3 == g), 9) for q in range(0, 200, 40) for g in range(3)}
+
+
+@pytest.mark.parametrize("name", ["pagerank_rerank", "gcn_propagation", "link_prediction", "temporal_growth", "temporal_trend", "graph_reachability", "label_propagation", "graph_degree_stats"])
+def test_neighbours_are_searched_once(spark, sf_dir, name):
+    """However often a query reads the edges, and in both directions."""
+    before, calls = knn.closest, spark.sparkContext.accumulator(0)
+
+    def counting(lid, *rest):
+        calls.add(len(lid))
+        return before(lid, *rest)
+
+    knn.closest = counting
+    try:
+        catalog.queries()[name](spark, sf_dir).collect()
+    finally:
+        knn.closest = before
+    assert calls.value == 500
