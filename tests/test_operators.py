@@ -475,3 +475,18 @@ def test_propagation_moves_vectors_whole(spark, monkeypatch):
     assert len(got) == 120 and all(abs(got[i, d] - want[i, d]) <= 1e-6 for i in range(40) for d in range(3))
     plan = plan_of(found)
     assert plan.index("Generate posexplode") < plan.index("Exchange")
+
+
+def test_postings_are_sent_as_they_come(spark):
+    """A batch of many words is sent in bounded parts, with the same counts."""
+
+    class Documents:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    texts = [" ".join(f"w{i}x{j} the Word{j % 7}" for j in range(200)) for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], ["doc_id", "text"])
+    sent = list(retrieval.postings(Documents())(iter([batch])))
+    assert sum(b.num_rows for b in sent) == 600 * 207 and max(b.num_rows for b in sent) < 25_000
+    got = {(r["term"], r["tf"], r["dl"]) for b in sent for r in b.to_pylist() if r["doc_id"] == 5}
+    assert got == {(f"w5x{j}", 1, 400) for j in range(200)} | {(f"word{j}", len(range(j, 200, 7)), 400) for j in range(7)}

@@ -18,6 +18,8 @@ from vecloom.sources.tables import cut
 
 
 TOKEN = re.compile(r"\w+")
+#: Postings sent at a time, and tokens whose term a worker keeps.
+ROWS_SENT, TOKENS_KEPT = 20_000, 50_000
 
 
 def term_counts(docs: DataFrame, terms: list[str], carry: list[str] | None = None) -> DataFrame:
@@ -82,7 +84,10 @@ def bm25_phrases(docs: DataFrame, terms: list[str], phrases: list[str], boost: f
 
 
 def postings(docs: DataFrame, stop: list[str] = T.STOP) -> DataFrame:
-    """(doc_id, term, tf, dl) of terms that begin with a letter and have 2 to 25 characters, stop words aside. A document is counted where it lies: no shuffle."""
+    """(doc_id, term, tf, dl) of terms that begin with a letter and have 2 to 25 characters, stop words aside. A document is counted where it lies: no shuffle.
+
+    A worker holds a few texts, some ``ROWS_SENT`` postings and the terms of ``TOKENS_KEPT`` tokens, however many documents and different words there are.
+    """
     whole, leave = re.compile(r"[a-z][a-z0-9]{1,24}"), set(stop)
 
     class Terms(dict):
@@ -91,15 +96,18 @@ def postings(docs: DataFrame, stop: list[str] = T.STOP) -> DataFrame:
         def __missing__(self, token: str) -> str:
             low = token.lower()
             term = low if token.isascii() and whole.fullmatch(low) and low not in leave else ""
-            if len(self) < 500_000:
+            if len(self) < TOKENS_KEPT:
                 self[token] = term
             return term
 
+    def made(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "term", "tf", "dl"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term_of = Terms()
         for batch in batches:
             ids, terms, tfs, dls = [], [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for i, text in ((i, text.as_py()) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
                 found: dict[str, int] = {}
                 for w, n in Counter(TOKEN.findall(text or "")).items():
                     if term := term_of[w]:
@@ -108,7 +116,10 @@ def postings(docs: DataFrame, stop: list[str] = T.STOP) -> DataFrame:
                 terms += found
                 tfs += found.values()
                 dls += [sum(found.values())] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(dls, pa.int64())], ["doc_id", "term", "tf", "dl"])
+                if len(ids) >= ROWS_SENT:
+                    yield made(ids, terms, tfs, dls)
+                    ids, terms, tfs, dls = [], [], [], []
+            yield made(ids, terms, tfs, dls)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, term string, tf long, dl long")
 
