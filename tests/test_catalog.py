@@ -175,3 +175,14 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() >= 0
+
+
+def test_compare_methods_searches_exactly_once(spark, sf_dir, monkeypatch):
+    """One exact search for each metric, whatever the number of methods."""
+    from vecloom.plans import vector_queries
+
+    made = []
+    for name in ("knn_batch", "knn_batch_l2"):
+        whole = vector_queries.REG.queries[name]
+        monkeypatch.setitem(vector_queries.REG.queries, name, lambda s, d, name=name, whole=whole: made.append(name) or whole(s, d))
+    assert catalog.queries()["compare_methods"](spark, sf_dir).count() == 7 and sorted(made) == ["knn_batch", "knn_batch_l2"]
